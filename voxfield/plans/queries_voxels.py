@@ -238,11 +238,11 @@ def ancestor_voxel(spark, sf):
 @query(
     "missing_voxels_j15",
     f"""WITH {PTS}, {KEYED}, {PTS_K}, {DEEP} SELECT DISTINCT {code_sql()} AS node FROM pk
-    WHERE {code_sql()} NOT IN (SELECT {code_sql()} FROM keyed)""",
+    WHERE {code_sql()} NOT IN (SELECT {code_sql()} FROM keyed GROUP BY kx, ky, kz HAVING count(*) > 15)""",
 )
 def missing_voxels(spark, sf):
     new = V.occupied_voxels(views.pts_k(spark, sf), RES, DEPTH)
-    return V.missing_voxels(new.select("node"), _leaves(spark, sf))
+    return V.missing_voxels(new.select("node"), _occupied(spark, sf, 15))
 
 
 @query("leaf_nodes_f16", MAP + f", {NODE_KEYS} SELECT node, level FROM lv")
