@@ -142,6 +142,11 @@ def node_keys(node: Column, depth: int, dims: int = 3) -> list[Column]:
     return [F.call_function("shiftleft", k, level) for k in morton_decode(code, dims, depth)]
 
 
+def leaf_keys(leaf: Column, depth: int, dims: int = 3) -> list[Column]:
+    """Keys of a leaf code (all at level 0)."""
+    return morton_decode(leaf.bitwiseXOR(F.lit(1 << (dims * depth))), dims, depth)
+
+
 def level_key(key: Column, level: int | Column) -> Column:
     """Centre key at a level: ((k >> L) << L) + 2^(L-1); level 0 leaves the key unchanged."""
     key = key.cast("bigint")

@@ -161,11 +161,11 @@ def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) ->
 
     ``src_id`` must be unique in src; coordinates are x, y, z. Empty if dst is empty.
     """
-    src = src.select(F.col(src_id).alias("qid"), *AXES)
-    points = dst.groupBy(*AXES).agg(F.min(dst_id).alias("tid"))
-    low, edge = _extent(src, dst)
+    src = cut(src.select(F.col(src_id).alias("qid"), *AXES))
+    points = cut(dst.groupBy(*AXES).agg(F.min(dst_id).alias("tid")))
+    low, edge = _extent(src, points)
     keys = _keys(low, edge)
-    points = cut(points.withColumn("code", _code(keys)))
+    points = points.withColumn("code", _code(keys))
     box = {name: F.col(name[-1]) for name in BOX}
     nodes, placed, base, last = _build(points, box)
 
@@ -216,10 +216,10 @@ def nearest_shapes(
     """
     dims = len(corners[0])
     flat = [c for corner in corners for c in corner]
-    shapes = shapes.select(F.col(shape_id).alias("tid"), *flat)
+    shapes = cut(shapes.select(F.col(shape_id).alias("tid"), *flat))
     if dims == 2:
         src = src.withColumn("z", F.lit(0.0))
-    src = src.select(F.col(src_id).alias("qid"), *AXES)
+    src = cut(src.select(F.col(src_id).alias("qid"), *AXES))
     mids, box = {}, {}
     for i, a in enumerate(AXES):
         cols = [F.col(corner[i]) for corner in corners] if i < dims else [F.lit(0.0), F.lit(0.0)]
@@ -227,7 +227,7 @@ def nearest_shapes(
         box[f"lo_{a}"], box[f"hi_{a}"], box[f"at_{a}"] = F.least(*cols), F.greatest(*cols), cols[0]
     centred = shapes.select("*", *[c.alias(a) for a, c in mids.items()])
     low, edge = _extent(centred)
-    centred = cut(centred.withColumn("code", _code(_keys(low, edge))).drop(*AXES))
+    centred = centred.withColumn("code", _code(_keys(low, edge))).drop(*AXES)
     nodes, placed, _, _ = _build(centred, box)
     root = nodes.filter(F.col("node") == 1).select("node", "leaf", *BOX)
     # One row: the root of the tree.

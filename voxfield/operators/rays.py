@@ -120,32 +120,48 @@ def ray_nodes(
     """
     from voxfield.operators.voxelmap import describe_nodes
 
-    geo = [f"o{a}" for a in AXES] + [f"d{a}" for a in AXES]
+    geo = [f"{p}{a}" for p in ("o", "d") for a in AXES]
+    ray = [ray_id, *geo, *[f"i{a}" for a in AXES]]
     inner = nodes.filter(F.col("node") > 1).select(K.ancestor(F.col("node"), 1).alias("node")).distinct()
     boxes = describe_nodes(nodes.select("node"), res, depth).join(inner.withColumn("_in", F.lit(True)), "node", "left")
-    boxes = boxes.select("node", F.col("_in").isNull().alias("leaf"), *[F.col(f"c{a}") for a in AXES], "half")
+    box = [*[f"c{a}" for a in AXES], "half"]
+    boxes = boxes.select("node", F.col("_in").isNull().alias("leaf"), "cx", "cy", "cz", (F.col("half") + F.lit(pad)).alias("half"))
     boxes = cut(boxes.withColumn("parent", K.ancestor(F.col("node"), 1)))
-    low = [F.col(f"c{a}") - F.col("half") - F.lit(pad) for a in AXES]
-    high = [F.col(f"c{a}") + F.col("half") + F.lit(pad) for a in AXES]
-
-    def test(df: DataFrame) -> DataFrame:
-        d1, d2, hit, _ = S.ray_box([F.col(c) for c in geo[:3]], [F.col(c) for c in geo[3:]], low, high)
-        df = df.withColumn("d1", F.when(hit, d1)).withColumn("d2", F.when(hit, d2)).filter(F.col("d1").isNotNull())
-        return df if bidirectional else df.filter(F.greatest("d1", "d2") >= 0)
-
-    keep = [ray_id, *geo, "node", "leaf", "d1", "d2"]
-    root = rays.select(ray_id, *geo, F.lit(1).cast("bigint").alias("node"))
-    level = test(root.join(F.broadcast(boxes.filter(F.col("node") == 1).drop("parent")), "node")).select(*keep)
-    step = boxes.select(F.col("parent").alias("_p"), F.col("node").alias("node"), "leaf", *[f"c{a}" for a in AXES], "half")
+
+    # Entry and exit of the line through the slabs from its inverse direction; a NULL inverse (a line along
+    # the slab) drops out of greatest/least and is tested by place. The slack only keeps a few more rows.
+    into = F.greatest(*[(F.col(f"c{a}") - F.col(f"o{a}")) * F.col(f"i{a}") - F.col("half") * F.abs(f"i{a}") for a in AXES])
+    out_of = F.least(*[(F.col(f"c{a}") - F.col(f"o{a}")) * F.col(f"i{a}") + F.col("half") * F.abs(f"i{a}") for a in AXES])
+    beside = F.lit(True)
+    for a in AXES:
+        beside = beside & (F.col(f"i{a}").isNotNull() | (F.abs(F.col(f"c{a}") - F.col(f"o{a}")) <= F.col("half")))
+
+    def meets(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_in", into).withColumn("_out", out_of)
+        near = F.col("_out") - F.col("_in") >= -1e-9 * (1.0 + F.abs("_in") + F.abs("_out"))
+        kept = df.filter(beside & near)
+        kept = kept if bidirectional else kept.filter(F.col("_out") >= -1e-9)
+        return kept.select(*ray, "node", "leaf", *box)
+
+    start = rays.select(ray_id, *geo, *[G.safe_div(F.lit(1.0), F.col(f"d{a}")).alias(f"i{a}") for a in AXES])
+    start = start.withColumn("node", F.lit(1).cast("bigint"))
+    level = meets(start.join(F.broadcast(boxes.filter(F.col("node") == 1).drop("parent")), "node"))
+    step = boxes.select(F.col("parent").alias("_p"), "node", "leaf", *box)
     done: DataFrame | None = None
-    for _ in range(depth + 1):
-        level = cut(level)
+    for d in range(depth + 1):
+        # Two levels per written table.
+        level = cut(level) if d % 2 == 0 else level
         found = level.filter("leaf") if leaves_only else level
         done = found if done is None else done.unionByName(found)
-        inner_rows = level.filter(~F.col("leaf")).select(ray_id, *geo, F.col("node").alias("_p"))
-        if inner_rows.isEmpty():
+        inner_rows = level.filter(~F.col("leaf")).select(*ray, F.col("node").alias("_p"))
+        if d == depth or (d % 2 == 0 and inner_rows.isEmpty()):
             break
-        level = test(inner_rows.join(step, "_p").drop("_p")).select(*keep)
+        level = meets(inner_rows.join(step, "_p").drop("_p"))
+    done = cut(done)
+    low = [F.col(f"c{a}") - F.col("half") for a in AXES]
+    high = [F.col(f"c{a}") + F.col("half") for a in AXES]
+    d1, d2, hit, _ = S.ray_box([F.col(c) for c in geo[:3]], [F.col(c) for c in geo[3:]], low, high)
+    done = done.select(ray_id, "node", d1.alias("d1"), d2.alias("d2")).filter(F.col("d1").isNotNull())
     if not bidirectional:
         done = done.filter(F.col("d1") >= 0)
     if max_range > 0:
@@ -244,7 +260,7 @@ def classify_cells(cells: DataFrame, depth: int, low: Sequence[int], high: Seque
 
 
 def _planar(cells: DataFrame, depth: int, low: Sequence[int], high: Sequence[int]) -> DataFrame:
-    out = cells.select("*", *[k.alias(f"k{a}") for a, k in zip("xy", K.node_keys(F.col("node"), depth, 2))])
+    out = cells.select("*", *[k.alias(f"k{a}") for a, k in zip("xy", K.leaf_keys(F.col("node"), depth, 2))])
     return out.filter(F.col("kx").between(low[0], high[0]) & F.col("ky").between(low[1], high[1]))
 
 

@@ -75,14 +75,14 @@ def _key_walk() -> str:
     c AS (SELECT a.scene, a.frame_id AS f, b.frame_id AS g, count(*) AS c FROM fv a JOIN fv b ON a.scene = b.scene AND a.node = b.node AND b.frame_id > a.frame_id GROUP BY ALL),
     i AS (SELECT a.scene, a.frame_id AS f, b.frame_id AS g, coalesce(c.c, 0)::DOUBLE / (a.n + b.n - coalesce(c.c, 0)) AS iou
       FROM n a JOIN n b ON a.scene = b.scene AND b.frame_id > a.frame_id LEFT JOIN c ON c.scene = a.scene AND c.f = a.frame_id AND c.g = b.frame_id),
-    x AS (SELECT scene, f, min(g) AS g FROM i WHERE iou < 0.62::DOUBLE GROUP BY ALL),
+    x AS (SELECT scene, f, min(g) AS g FROM i WHERE iou < 0.7::DOUBLE GROUP BY ALL),
     k(scene, frame_id) AS (SELECT scene, min(frame_id) FROM fv GROUP BY scene UNION ALL SELECT k.scene, x.g FROM k JOIN x ON x.scene = k.scene AND x.f = k.frame_id)
     SELECT scene, frame_id FROM k"""
 
 
 @query("keyframe_iou_w2", _key_walk())
 def keyframe_iou(spark, sf):
-    return KF.iou_key_frames(frame_voxels(spark, sf), 0.62)
+    return KF.iou_key_frames(frame_voxels(spark, sf), 0.7)
 
 
 def _cover_sql(steps: int) -> str:
@@ -311,7 +311,7 @@ def inner_occupancy(spark, sf):
     return out.select("node", r6(F.col("value")).alias("value"))
 
 
-BOX2 = ((122, 122), (156, 156))
+BOX2 = ((110, 110), (170, 170))
 
 
 def _flat(spark, sf):
@@ -329,12 +329,12 @@ w AS (SELECT frame_id, ax + (sum(CASE WHEN axis = 0 THEN s ELSE 0 END) OVER q -
 up AS (SELECT frame_id, kx, ky, max(hit) AS hit FROM (SELECT frame_id, kx, ky, 0 AS hit FROM w UNION ALL SELECT frame_id, bx, by_, 1 FROM k) GROUP BY ALL),
 cell AS (SELECT kx, ky, list_reduce(list(CASE WHEN hit = 1 THEN {HIT!r}::DOUBLE ELSE {MISS!r}::DOUBLE END ORDER BY frame_id), lambda acc, d: least({HIGH}::DOUBLE, greatest({LOW}::DOUBLE, acc + d)), 0.0::DOUBLE) AS value
   FROM up WHERE kx BETWEEN 0 AND 255 AND ky BETWEEN 0 AND 255 GROUP BY ALL),
-box AS (SELECT * FROM cell WHERE kx BETWEEN 122 AND 156 AND ky BETWEEN 122 AND 156)"""
+box AS (SELECT * FROM cell WHERE kx BETWEEN 110 AND 170 AND ky BETWEEN 110 AND 170)"""
 
 
 @query(
     "cell_classes_a18",
-    f"WITH {FLAT} SELECT count(*) FILTER (value > 0) AS occupied, count(*) FILTER (value <= 0) AS free, 35 * 35 - count(*) AS unexplored FROM box",
+    f"WITH {FLAT} SELECT count(*) FILTER (value > 0) AS occupied, count(*) FILTER (value <= 0) AS free, 61 * 61 - count(*) AS unexplored FROM box",
 )
 def cell_classes(spark, sf):
     return R.classify_cells(_flat(spark, sf), RAY_DEPTH, *BOX2)
@@ -343,7 +343,7 @@ def cell_classes(spark, sf):
 @query(
     "frontier_cells_a18",
     f"""WITH {FLAT} SELECT DISTINCT b.kx, b.ky FROM box b, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(i, j) WHERE value <= 0
-    AND b.kx + i BETWEEN 122 AND 156 AND b.ky + j BETWEEN 122 AND 156 AND (b.kx + i, b.ky + j) NOT IN (SELECT (kx, ky) FROM box)""",
+    AND b.kx + i BETWEEN 110 AND 170 AND b.ky + j BETWEEN 110 AND 170 AND (b.kx + i, b.ky + j) NOT IN (SELECT (kx, ky) FROM box)""",
 )
 def frontier_cells(spark, sf):
     return R.frontier_cells(_flat(spark, sf), RAY_DEPTH, *BOX2)

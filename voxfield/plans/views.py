@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxfield.functions.hashing import uniform, uniform_sql
-
 RES = 2.0
 DEPTH = 8
 OFFSET = 1 << (DEPTH - 1)
@@ -75,9 +73,9 @@ def rays(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "orders").select(
         key.alias("ray_id"),
         F.pmod(F.col("o_custkey"), F.lit(64)).alias("frame_id"),
-        (uniform(key, 0) * 2.0 - 1.0).alias("_x"),
-        (uniform(key, 1) * 2.0 - 1.0).alias("_y"),
-        (uniform(key, 2) * 2.0 - 1.0).alias("_z"),
+        (F.pmod(key * 7919, F.lit(2003)) / 1001.5 - 1.0).alias("_x"),
+        (F.pmod(key * 104729, F.lit(1999)) / 999.5 - 1.0).alias("_y"),
+        (F.pmod(key * 31337, F.lit(997)) / 498.5 - 1.0).alias("_z"),
         (F.col("o_totalprice") / 10000.0).alias("depth"),
     )
     norm = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + F.col("_z") * F.col("_z"))
@@ -94,8 +92,8 @@ def rays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RAYS = f"""raw AS (SELECT o_orderkey AS ray_id, o_custkey % 64 AS frame_id,
-  {uniform_sql('o_orderkey', 0)} * 2.0::DOUBLE - 1.0::DOUBLE AS rx, {uniform_sql('o_orderkey', 1)} * 2.0::DOUBLE - 1.0::DOUBLE AS ry,
-  {uniform_sql('o_orderkey', 2)} * 2.0::DOUBLE - 1.0::DOUBLE AS rz, o_totalprice / 10000.0::DOUBLE AS depth FROM orders),
+  ((o_orderkey * 7919) % 2003) / 1001.5::DOUBLE - 1.0::DOUBLE AS rx, ((o_orderkey * 104729) % 1999) / 999.5::DOUBLE - 1.0::DOUBLE AS ry,
+  ((o_orderkey * 31337) % 997) / 498.5::DOUBLE - 1.0::DOUBLE AS rz, o_totalprice / 10000.0::DOUBLE AS depth FROM orders),
 rays AS (SELECT ray_id, frame_id, 25.0::DOUBLE AS ox, 25.0::DOUBLE AS oy, 5.0::DOUBLE AS oz,
   rx / sqrt(rx * rx + ry * ry + rz * rz) AS dx, ry / sqrt(rx * rx + ry * ry + rz * rz) AS dy,
   rz / sqrt(rx * rx + ry * ry + rz * rz) AS dz, depth FROM raw)"""
