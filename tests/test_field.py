@@ -93,7 +93,7 @@ def test_pulls_are_the_slopes_of_the_loss(spark, setup):
         return FD.interpolate(FD.locate(s, nodes, RES, DEPTH).join(FD.corner_rows(nodes, vertices, RES, DEPTH), "node"))
 
     total = lambda vertices: fit.loss_report(rows(vertices), cfg, {"p": ("sdf_prior", ["grad_x", "grad_y", "grad_z"])}).first()["total"]
-    pulls = fit.vertex_pulls(fit.corner_pulls(rows(v), cfg, n), DEPTH).orderBy(F.abs("d_gy").desc()).first()
+    pulls = fit.vertex_pulls(fit.corner_pulls(rows(v), cfg, n), V.voxel_corners(nodes, DEPTH)).orderBy(F.abs("d_gy").desc()).first()
     at = (F.col("vx") == pulls.vx) & (F.col("vy") == pulls.vy) & (F.col("vz") == pulls.vz)
     for name in ("sdf", "gy"):
         bump = lambda e: v.withColumn(name, F.when(at, F.col(name) + e).otherwise(F.col(name)))

@@ -29,36 +29,50 @@ def corner_rows(
 
     Voxels with a missing vertex are left out.
     """
-    corners = V.voxel_corners(nodes, depth, separate_leaves=separate_leaves)
+    boxes = voxel_boxes(nodes, res, depth)
+    return join_corner_values(V.voxel_corners(nodes, depth, separate_leaves=separate_leaves), vertices, features).join(boxes, "node")
+
+
+def voxel_boxes(nodes: DataFrame, res: float, depth: int) -> DataFrame:
+    """(node, cx, cy, cz, half)."""
+    return V.describe_nodes(nodes.select("node"), res, depth).select("node", "cx", "cy", "cz", "half")
+
+
+def join_corner_values(corners: DataFrame, vertices: DataFrame, features: int = 0) -> DataFrame:
+    """The <param><corner> columns of each voxel from its corner list (node, corner, ns, vx, vy, vz)."""
     extra = [F.get("feat", k).alias(f"f{k}_") for k in range(features)]
     names = [*PARAMS, *[f"f{k}_" for k in range(features)]]
     params = vertices.select("ns", "vx", "vy", "vz", *PARAMS, *extra)
     met = corners.join(params, ["ns", "vx", "vy", "vz"])
     picks = [F.max(F.when(F.col("corner") == i, F.col(n))).alias(f"{n}{i}") for n in names for i in range(8)]
-    rows = met.groupBy("node").agg(F.count("*").alias("_n"), *picks).filter(F.col("_n") == 8).drop("_n")
-    return V.describe_nodes(rows, res, depth).drop("level", "kx", "ky", "kz")
+    return met.groupBy("node").agg(F.count("*").alias("_n"), *picks).filter(F.col("_n") == 8).drop("_n")
 
 
 # -- interpolation (G5, G6, G12) -----------------------------------------------------------------
 
 
-def _blend(v: Sequence[Column], p: Sequence[Column]) -> Column:
-    """Trilinear blend of eight corner values; corner i has bits x, y, z."""
-    for a in p:
-        v = [v[i] + a * (v[i + 1] - v[i]) for i in range(0, len(v), 2)]
+# These formulas are SQL text: a few hundred terms build as one expression instead of one call per term.
+
+
+def blend(v: Sequence[str]) -> str:
+    """Trilinear blend over px, py, pz of eight corner terms; corner i has bits x, y, z."""
+    for a in ("px", "py", "pz"):
+        v = [f"((1 - {a}) * {v[i]} + {a} * {v[i + 1]})" for i in range(0, len(v), 2)]
     return v[0]
 
 
-def _slope(v: Sequence[Column], p: Sequence[Column], axis: int) -> Column:
+def slope(v: Sequence[str], axis: int) -> str:
     """Derivative of the blend by the unit coordinate of one axis."""
-    for b, a in enumerate(p):
-        v = [(v[i + 1] - v[i]) if b == axis else v[i] + a * (v[i + 1] - v[i]) for i in range(0, len(v), 2)]
+    for b, a in enumerate(("px", "py", "pz")):
+        v = [
+            f"({v[i + 1]} - {v[i]})" if b == axis else f"((1 - {a}) * {v[i]} + {a} * {v[i + 1]})" for i in range(0, len(v), 2)
+        ]
     return v[0]
 
 
 def unit_coords() -> dict[str, Column]:
     """p = (x - centre) / edge + 0.5, in [0, 1] inside the voxel."""
-    return {f"p{a}": (F.col(a) - F.col(f"c{a}")) / (F.col("half") * 2.0) + 0.5 for a in AXES}
+    return {f"p{a}": F.expr(f"({a} - c{a}) / (half * 2.0D) + 0.5D") for a in AXES}
 
 
 def interpolate(rows: DataFrame, augmented: bool = True, gradient: bool = True) -> DataFrame:
@@ -67,31 +81,23 @@ def interpolate(rows: DataFrame, augmented: bool = True, gradient: bool = True)
     Augmented corner values are v_i + g_i . (x - corner_i), so an affine field is reproduced from any corner.
     """
     rows = rows.withColumns(unit_coords())
-    p = [F.col(f"p{a}") for a in AXES]
+    values = [f"sdf{i}" for i in range(8)]
     if augmented:
-        near = {f"_v{i}": _extended(i) for i in range(8)}
+        # x - corner = edge * (p - bit).
+        near = {
+            f"_v{i}": F.expr(f"sdf{i} + half * 2.0D * (" + " + ".join(f"g{a}{i} * (p{a} - {i >> b & 1})" for b, a in enumerate(AXES)) + ")")
+            for i in range(8)
+        }
         rows = rows.withColumns(near)
-        values = [F.col(f"_v{i}") for i in range(8)]
-    else:
-        values = [F.col(f"sdf{i}") for i in range(8)]
-    out = {"sdf_prior": _blend(values, p)}
+        values = list(near)
+    out = {"sdf_prior": F.expr(blend(values))}
     if gradient:
         for n, a in enumerate(AXES):
-            g = _slope(values, p, n) / (F.col("half") * 2.0)
-            if augmented:
-                g = g + _blend([F.col(f"g{a}{i}") for i in range(8)], p)
-            out[f"grad_{a}"] = g
+            own = " + " + blend([f"g{a}{i}" for i in range(8)]) if augmented else ""
+            out[f"grad_{a}"] = F.expr(f"{slope(values, n)} / (half * 2.0D){own}")
     return rows.withColumns(out).drop("px", "py", "pz", *[f"_v{i}" for i in range(8)])
 
 
-def _extended(i: int) -> Column:
-    # x - corner = edge * (p - bit).
-    out = F.col(f"sdf{i}")
-    for b, a in enumerate(AXES):
-        out = out + F.col(f"g{a}{i}") * (F.col("half") * 2.0) * (F.col(f"p{a}") - F.lit(float(i >> b & 1)))
-    return out
-
-
 # -- queries (G10, G11, G13, G14, V1, V2) --------------------------------------------------------
 
 
@@ -158,8 +164,7 @@ def level_features(points: DataFrame, corners: DataFrame, res: float, depth: int
     feats = []
     for level in range(1, levels + 1):
         coded = V.ancestor_voxel(coded, table.select("node"), level).join(table, "node", "left").withColumns(unit_coords())
-        p = [F.col(f"p{a}") for a in AXES]
-        one = [F.coalesce(_blend([F.col(f"f{k}_{i}") for i in range(8)], p), F.lit(0.0)) for k in range(features)]
+        one = [F.expr(f"coalesce({blend([f'f{k}_{i}' for i in range(8)])}, 0.0D)") for k in range(features)]
         coded = coded.withColumns({f"_l{level}_{k}": c for k, c in enumerate(one)})
         coded = coded.drop("node", "cx", "cy", "cz", "half", "px", "py", "pz", *cols)
         feats += [F.col(f"_l{level}_{k}") for k in range(features)]

@@ -128,32 +128,36 @@ def _pulls(cfg: Losses, n: dict[str, int]) -> tuple[Column, list[Column]]:
     return p, [factor * c for c in g]
 
 
+def pull_sums() -> tuple[dict[str, Column], list[Column]]:
+    """Per-corner pulls A_i and weights w_i of a sample, and the sums a<i>, bx<i>.. over a voxel."""
+    parts, sums = {}, []
+    for i in range(8):
+        bits = [i >> b & 1 for b in range(3)]
+        w = [f"p{a}" if bit else f"(1 - p{a})" for a, bit in zip(AXES, bits)]
+        turn = " + ".join(
+            f"{'' if bits[b] else '-'}_q{a} * {w[(b + 1) % 3]} * {w[(b + 2) % 3]}" for b, a in enumerate(AXES)
+        )
+        parts[f"_w{i}"] = F.expr(" * ".join(w))
+        parts[f"_a{i}"] = F.expr(f"_p * {' * '.join(w)} + ({turn}) / (half * 2.0D)")
+        sums.append(F.sum(f"_a{i}").alias(f"a{i}"))
+        sums += [
+            F.expr(f"sum(_a{i} * half * 2.0D * (p{a} - {bit}) + _w{i} * _q{a})").alias(f"b{a}{i}") for a, bit in zip(AXES, bits)
+        ]
+    return parts, sums
+
+
 def corner_pulls(rows: DataFrame, cfg: Losses, n: dict[str, int]) -> DataFrame:
     """Summed parameter sub-gradients per voxel: (node, a0..a7, bx0..bz7). Combined before any shuffle."""
     p, q = _pulls(cfg, n)
-    rows = rows.withColumns({"_p": p, **{f"_q{a}": c for a, c in zip(AXES, q)}}).withColumns(FD.unit_coords())
-    u = [F.col(f"p{a}") for a in AXES]
-    edge = F.col("half") * 2.0
-    sums, parts = [], {}
-    for i in range(8):
-        w = [c if i >> b & 1 else 1.0 - c for b, c in enumerate(u)]
-        sign = [1.0 if i >> b & 1 else -1.0 for b in range(3)]
-        weight = w[0] * w[1] * w[2]
-        slope = [F.lit(sign[b]) / edge * w[(b + 1) % 3] * w[(b + 2) % 3] for b in range(3)]
-        parts[f"_w{i}"] = weight
-        parts[f"_a{i}"] = F.col("_p") * weight + G.dot([F.col(f"_q{a}") for a in AXES], slope)
-        sums.append(F.sum(f"_a{i}").alias(f"a{i}"))
-        for b, a in enumerate(AXES):
-            offset = edge * (u[b] - F.lit(float(i >> b & 1)))
-            sums.append(F.sum(F.col(f"_a{i}") * offset + F.col(f"_w{i}") * F.col(f"_q{a}")).alias(f"b{a}{i}"))
+    parts, sums = pull_sums()
+    rows = rows.withColumns({"_p": p, **{f"_q{a}": c for a, c in zip(AXES, q)}, **FD.unit_coords()})
     return rows.withColumns(parts).groupBy("node").agg(*sums)
 
 
-def vertex_pulls(pulls: DataFrame, depth: int, separate_leaves: bool = False) -> DataFrame:
-    """Sub-gradients per vertex from those per voxel corner."""
-    corners = V.voxel_corners(pulls.select("node"), depth, separate_leaves=separate_leaves)
+def vertex_pulls(pulls: DataFrame, corners: DataFrame) -> DataFrame:
+    """Sub-gradients per vertex from those per voxel, over the corner list (node, corner, ns, vx, vy, vz)."""
     met = corners.join(pulls, "node")
-    pick = lambda stem: F.element_at(F.array(*[F.col(f"{stem}{i}") for i in range(8)]), F.col("corner") + 1)
+    pick = lambda stem: F.expr("element_at(array(" + ", ".join(f"{stem}{i}" for i in range(8)) + "), corner + 1)")
     met = met.select("ns", "vx", "vy", "vz", pick("a").alias("d_sdf"), *[pick(f"b{a}").alias(f"d_g{a}") for a in AXES])
     names = ["d_sdf", *[f"d_g{a}" for a in AXES]]
     return met.groupBy("ns", "vx", "vy", "vz").agg(*[F.sum(c).alias(c) for c in names])
@@ -193,13 +197,15 @@ def fit_vertices(
     names = ["sdf", *[f"g{a}" for a in AXES]]
     state = vertices.select("ns", "vx", "vy", "vz", *names)
     state = cut(state.withColumns({f"{m}_{c}": F.lit(0.0) for c in names for m in "mv"}))
+    # What does not change over the steps is laid out once.
     used = cut(used)
+    corners = cut(V.voxel_corners(used, depth, separate_leaves=separate_leaves))
+    placed = cut(placed.join(FD.voxel_boxes(used, res, depth), "node"))
     for step in range(1, steps + 1):
-        corners = FD.corner_rows(used, state, res, depth, separate_leaves)
-        rows = FD.interpolate(placed.join(corners, "node"))
+        rows = FD.interpolate(placed.join(FD.join_corner_values(corners, state), "node"))
         if on_step:
             on_step(step, loss_report(rows, cfg, {"prior": ("sdf_prior", [f"grad_{a}" for a in AXES])}))
-        pulls = vertex_pulls(corner_pulls(rows, cfg, n), depth, separate_leaves)
+        pulls = vertex_pulls(corner_pulls(rows, cfg, n), corners)
         joined = state.join(pulls, ["ns", "vx", "vy", "vz"], "left")
         new = {}
         for c in names:
