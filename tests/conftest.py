@@ -15,10 +15,15 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("voxfield-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        # Tables of a few rows: compiling large expressions would take most of the time. tools/check.py runs
+        # every query with generated code.
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -29,7 +29,7 @@ def room(spark):
 
 def config(**kw):
     losses = fit.Losses(eikonal={"surface": 0.1, "perturbation": 0.1, "space": 0.1}, eta=0.05)
-    return mapping.MapConfig(res=0.4, depth=5, full_depth=4, insert_ratio=0.95, rays=900, sigma=0.15, rate=0.08, steps=12, losses=losses, **kw)
+    return mapping.MapConfig(res=0.4, depth=5, full_depth=4, insert_ratio=0.95, rays=900, sigma=0.15, rate=0.12, steps=8, losses=losses, **kw)
 
 
 def test_batch_mapping_learns_the_ball(spark, room):
@@ -37,7 +37,7 @@ def test_batch_mapping_learns_the_ball(spark, room):
     cfg = config()
     seen = []
     m = mapping.build_map(points, poses, cfg, lambda n, r: seen.append(r.first()["total"]))
-    assert len(seen) == cfg.steps and seen[-1] < 0.6 * seen[0]
+    assert len(seen) == cfg.steps and seen[-1] < 0.75 * seen[0]
     assert 1 <= m.key_frames.count() <= 3
     rng = np.random.default_rng(26)
     d = rng.normal(size=(200, 3))
@@ -70,7 +70,7 @@ def test_surface_scores_of_equal_and_moved_meshes(spark):
     faces = spark.createDataFrame([(i, *t) for i, t in enumerate(f)], "fid int, a int, b int, c int")
     cube = mesh.triangle_corners(faces, vertices)
     far = mesh.triangle_corners(faces, vertices.withColumn("x", F.col("x") + 10))
-    same = mapping.evaluate_surface(cube, cube, 3000, 0.1).first()
+    same = mapping.evaluate_surface(cube, cube, 2000, 0.1).first()
     assert same.f1 > 0.99 and same.chamfer < 0.05
     apart = mapping.evaluate_surface(cube, far, 500, 0.1).first()
     assert apart.f1 == 0.0 and apart.chamfer > 8

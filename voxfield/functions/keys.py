@@ -16,7 +16,8 @@ AXES = ("x", "y", "z")
 
 #: Bits per key that a code can hold (60-bit codes stay positive in a bigint).
 MAX_DEPTH = {2: 30, 3: 20}
-CHUNK = 8
+#: Bits per table step. Small tables: the planner compares and hashes literals again and again.
+CHUNK = 4
 
 
 def _table(values: list[int]) -> Column:
@@ -45,7 +46,7 @@ FACES = {
 
 
 def _spread(x: Column, dims: int, bits: int) -> Column:
-    """Put bit b of x at bit dims*b. A table step per 8 bits keeps the expression small, so that codes
+    """Put bit b of x at bit dims*b. A table step per few bits keeps the expression small, so that codes
     can be nested in predicates without blowing up the generated code."""
     table = _spread_table(dims)
     x = x.cast("bigint")
@@ -59,7 +60,7 @@ def _spread(x: Column, dims: int, bits: int) -> Column:
 
 
 def _gather(code: Column, dims: int, bits: int) -> Column:
-    step = 12 // dims
+    step = 6 // dims
     table = _gather_table(dims, step)
     out = None
     for low in range(0, bits, step):

@@ -15,7 +15,7 @@ from voxfield.functions import keys as K
 from voxfield.functions import shapes as S
 from voxfield.functions.hashing import uniform
 from voxfield.operators.filters import valid_rays
-from voxfield.session import cut
+from voxfield.session import cut, spread
 
 AXES = K.AXES
 
@@ -78,7 +78,7 @@ def traverse(
                 out[f"k{name}"] = k0[ray, a] + before - (before[first] if len(ray) else 0)
             yield pd.DataFrame(out)
 
-    return rays.mapInPandas(walk, schema)
+    return spread(rays).mapInPandas(walk, schema)
 
 
 def traverse_centres(rays: DataFrame, res: float, depth: int, ray_id: str = "ray_id") -> DataFrame:
@@ -296,7 +296,7 @@ def ray_samples(
     rays = valid_rays(rays, depth_min, depth_max, margin)
     total = n_stratified + n_perturbed + 1
     before = n_perturbed // 2
-    out = rays.withColumn("s_idx", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
+    out = spread(rays).withColumn("s_idx", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
     i, d = F.col("s_idx"), F.col("depth")
     out = out.withColumn("_u", uniform(F.col("ray_id"), F.col("s_idx"), seed))
     u = F.col("_u")

@@ -46,3 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` provably has at most ``rows`` rows, else leave it to the planner."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input that comes in fewer files than there are cores, before rows multiply.
+
+    Large tables have more files than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
