@@ -17,6 +17,7 @@ def spark():
         .appName("voxfield-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         # Tables of a few rows: compiling large expressions would take most of the time. tools/check.py runs

@@ -16,8 +16,8 @@ AXES = ("x", "y", "z")
 
 #: Bits per key that a code can hold (60-bit codes stay positive in a bigint).
 MAX_DEPTH = {2: 30, 3: 20}
-#: Bits per table step. Small tables: the planner compares and hashes literals again and again.
-CHUNK = 4
+#: Bits per table step of the encoder.
+CHUNK = 8
 
 
 def _table(values: list[int]) -> Column:

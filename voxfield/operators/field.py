@@ -17,6 +17,7 @@ from voxfield.functions import geometry as G
 from voxfield.functions import keys as K
 from voxfield.operators import voxelmap as V
 from voxfield.operators.grids import dilate
+from voxfield.session import spread
 
 AXES = "xyz"
 PARAMS = ("sdf", "gx", "gy", "gz")
@@ -110,7 +111,7 @@ def query_sdf(
     points: DataFrame, corners: DataFrame, res: float, depth: int, augmented: bool = True, gradient: bool = True
 ) -> DataFrame:
     """Value and gradient of the prior field at arbitrary points; NULL where no voxel holds them."""
-    located = locate(points, corners.select("node"), res, depth)
+    located = locate(spread(points), corners.select("node"), res, depth)
     joined = located.join(corners, "node", "left")
     out = interpolate(joined, augmented, gradient)
     added = ["sdf_prior", *([f"grad_{a}" for a in AXES] if gradient else [])]

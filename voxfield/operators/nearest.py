@@ -46,9 +46,9 @@ def _extent(*sides: DataFrame) -> tuple[list[float], float]:
     return low, edge * (1 + 1e-9) if edge > 0 else 1.0
 
 
-def _keys(low: Sequence[float], edge: float) -> list[Column]:
-    scale = float(1 << TOP) / edge
-    cap = (1 << TOP) - 1
+def _keys(low: Sequence[float], edge: float, depth: int = TOP) -> list[Column]:
+    scale = float(1 << depth) / edge
+    cap = (1 << depth) - 1
     return [
         F.least(F.lit(cap), F.greatest(F.lit(0), F.floor((F.col(a) - F.lit(l)) * F.lit(scale)))).cast("bigint")
         for a, l in zip(AXES, low)
@@ -164,14 +164,13 @@ def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) ->
     src = cut(src.select(F.col(src_id).alias("qid"), *AXES))
     points = cut(dst.groupBy(*AXES).agg(F.min(dst_id).alias("tid")))
     low, edge = _extent(src, points)
-    keys = _keys(low, edge)
-    points = points.withColumn("code", _code(keys))
+    points = points.withColumn("code", _code(_keys(low, edge)))
     box = {name: F.col(name[-1]) for name in BOX}
     nodes, placed, base, last = _build(points, box)
 
     # Upper bound per query: the deepest target node on its own path.
-    src = src.select("*", *[k.alias(f"k{a}") for a, k in zip(AXES, keys)])
-    src = src.withColumn("leaf", _up(_code([F.col(f"k{a}") for a in AXES]), last))
+    # Codes of the depth that is used, no deeper: the generated code stays small.
+    src = src.withColumn("leaf", K.location_code(_keys(low, edge, last), last))
     start = deepest_of(src.select("leaf").distinct(), nodes).join(nodes.select("node", *BOX), "node")
     seeded = src.join(start.drop("node"), "leaf").withColumn("ub2", _sure2()).select("qid", *AXES, "ub2")
     # Shuffled once here, before rows multiply: the bound below is per query row.
@@ -189,7 +188,7 @@ def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) ->
         span = F.sequence(F.greatest(first, F.lit(0).cast("bigint")), F.least(last, top))
         around = around.withColumn(f"n{a}", F.explode(span))
     prefix = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_d") * 3)
-    around = around.withColumn("node", prefix.bitwiseOR(K.morton([F.col(f"n{a}") for a in AXES], TOP)))
+    around = around.withColumn("node", prefix.bitwiseOR(K.morton([F.col(f"n{a}") for a in AXES], base)))
     frontier = around.select("qid", *AXES, "ub2", "node").join(nodes.select("node", "leaf", *BOX), "node")
     frontier = _tighten(frontier).select(*KEPT)
 

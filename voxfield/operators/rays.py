@@ -204,6 +204,7 @@ def fuse_updates(updates: DataFrame, low: float, high: float, order: str = "fram
     A clamped addition is x -> min(max(x + a, lo), hi), and two of them in a row are again of that form, so
     the updates of a cell fold in blocks of bounded length, then the blocks fold, however many scans saw it.
     """
+    updates = cut(updates)  # read twice: for the last frame, and to fold
     span = updates.agg(F.max(order)).first()[0] or 0
     steps = updates.select(
         "node", F.col(order).cast("bigint").alias("_o"), F.col("delta").alias("a"), F.lit(low).alias("lo"), F.lit(high).alias("hi")
