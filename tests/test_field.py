@@ -52,6 +52,12 @@ def test_exact_gradient_matches_central_differences(spark, setup):
     assert (err < 1e-5).mean() > 0.98
 
 
+def test_valid_samples_are_in_the_box_and_the_map(spark, setup):
+    p, pts, nodes, _ = setup
+    got = {r.pt_id for r in FD.valid_samples(pts, nodes, RES, DEPTH, (-2, -2, -2), (2, 2, 2)).collect()}
+    assert got == set(p[(p[["x", "y", "z"]].abs() <= 2).all(axis=1)].pt_id)
+
+
 def test_points_outside_have_no_value(spark, setup):
     _, _, nodes, v = setup
     far = spark.createDataFrame([(0, 100.0, 0.0, 0.0)], "pt_id int, x double, y double, z double")

@@ -107,6 +107,12 @@ def locate(points: DataFrame, nodes: DataFrame, res: float, depth: int) -> DataF
     return V.deepest_voxel(V.leaf_codes(points, res, depth), nodes).drop("leaf")
 
 
+def valid_samples(samples: DataFrame, nodes: DataFrame, res: float, depth: int, low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """F8: samples inside the bounds and inside an existing voxel, with that voxel as ``node``."""
+    inside = samples.filter(G.in_box(G.vec(*AXES), low, high))
+    return locate(inside, nodes, res, depth).filter(F.col("node").isNotNull())
+
+
 def query_sdf(
     points: DataFrame, corners: DataFrame, res: float, depth: int, augmented: bool = True, gradient: bool = True
 ) -> DataFrame:
