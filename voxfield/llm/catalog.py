@@ -1,6 +1,8 @@
 """Queries over the training-data operators, and the SQL that states the same result."""
 
 from voxfield.llm import (  # noqa: F401
+    q_mixing,
     q_substring,
+    q_urls,
 )
 from voxfield.llm.registry import QUERIES, SQL  # noqa: F401
