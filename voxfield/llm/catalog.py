@@ -1,7 +1,9 @@
 """Queries over the training-data operators, and the SQL that states the same result."""
 
 from voxfield.llm import (  # noqa: F401
+    q_bpe,
     q_mixing,
+    q_simhash,
     q_substring,
     q_urls,
 )
