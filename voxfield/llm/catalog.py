@@ -3,6 +3,9 @@
 from voxfield.llm import (  # noqa: F401
     q_bpe,
     q_mixing,
+    q_mtree,
+    q_orderminhash,
+    q_quality,
     q_simhash,
     q_substring,
     q_urls,
