@@ -5,9 +5,11 @@ from voxfield.llm import (  # noqa: F401
     q_mixing,
     q_mtree,
     q_orderminhash,
+    q_pitmanyor,
     q_quality,
     q_simhash,
     q_substring,
+    q_toxicity,
     q_urls,
 )
 from voxfield.llm.registry import QUERIES, SQL  # noqa: F401

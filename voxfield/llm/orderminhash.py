@@ -110,20 +110,22 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     comes last. A single row is its own next. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    groups = rows.groupBy("doc_id", "h").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
-    ranked = session.cut(_ranked(groups, F.col("doc_id").desc_nulls_last(), F.col("h").asc()))
+    # A key without nulls, so that joins need no other shuffle than the one that deals the texts out.
+    key = ["id", "no_id", "h"]
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("h"), "text")
+    groups = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
+    ranked = session.cut(_ranked(groups, F.col("no_id").asc(), F.col("id").desc(), F.col("h").asc()))
     n = ranked.count()
-    follows = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), F.col("doc_id").alias("next_doc"), F.col("h").alias("next_h"))
-    asked = ranked.join(follows, "rank").select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "copies", F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "next_doc", "next_h")
-
-    # Every text once by (doc_id, h); the k-th of equal rows.
-    signed = with_signature(rows, "text", "signature").repartition("doc_id", "h")
-    signed = signed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h")))
-    first = signed.where("k = 1").select(F.col("doc_id").alias("fd"), F.col("h").alias("fh"), "text", "signature")
-    answers = asked.join(first, F.col("next_doc").eqNullSafe(F.col("fd")) & (F.col("next_h") == F.col("fh")))
-    answers = answers.select("d", "dh", "copies", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("signature").alias("next_signature"))
-    met = signed.join(answers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")))
+    follows = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), *[F.col(c).alias(f"next_{c}") for c in key])
+    asked = ranked.join(follows, "rank").select(*[F.col(c).alias(f"own_{c}") for c in key], "copies", F.floor(F.col("n_chars") / 2).cast("int").alias("half"), *[f"next_{c}" for c in key])
+
+    # Texts by their key, dealt out once; the k-th of equal rows.
+    signed = with_signature(rows, "text", "signature").repartition(*key)
+    signed = signed.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
+    first = signed.where("k = 1").select(*[F.col(c).alias(f"first_{c}") for c in key], "text", "signature")
+    answers = asked.join(first, [F.col(f"next_{c}") == F.col(f"first_{c}") for c in key])
+    answers = answers.select(*[f"own_{c}" for c in key], "copies", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("signature").alias("next_signature"))
+    met = signed.join(answers, [F.col(c) == F.col(f"own_{c}") for c in key])
     last = F.col("k") == F.col("copies")
     head = F.when(last, F.col("head")).otherwise(F.substring("text", F.lit(1), F.col("half")))
     n_chars = F.length("text")
