@@ -112,14 +112,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # A key without nulls, so that joins need no other shuffle than the one that deals the texts out.
     key = ["id", "no_id", "h"]
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("h"), "text")
+    rows = rows.select(F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("h"), "text")
     groups = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
     ranked = session.cut(_ranked(groups, F.col("no_id").asc(), F.col("id").desc(), F.col("h").asc()))
     n = ranked.count()
     follows = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), *[F.col(c).alias(f"next_{c}") for c in key])
     asked = ranked.join(follows, "rank").select(*[F.col(c).alias(f"own_{c}") for c in key], "copies", F.floor(F.col("n_chars") / 2).cast("int").alias("half"), *[f"next_{c}" for c in key])
 
-    # Texts by their key, dealt out once; the k-th of equal rows.
+    # Texts by their key; the k-th of equal rows. Both uses below read the same columns, so Spark deals the texts out once.
     signed = with_signature(rows, "text", "signature").repartition(*key)
     signed = signed.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
     first = signed.where("k = 1").select(*[F.col(c).alias(f"first_{c}") for c in key], "text", "signature")
@@ -131,7 +131,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n_chars = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - F.col("half")), head)
     met = met.select(
-        "doc_id", n_chars.cast("bigint").alias("n_chars"), edited.alias("edited"), "signature",
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), n_chars.cast("bigint").alias("n_chars"), edited.alias("edited"), "signature",
         F.when(last, F.col("next_signature")).otherwise(F.col("signature")).alias("next_signature"),
     )
     return with_signature(met, "edited", "edited_signature")
