@@ -143,23 +143,21 @@ def finite_pose(pose: Column) -> Column:
 
 def up_axis_rotation(rotation: np.ndarray) -> np.ndarray:
     """``rotation`` has the box axes as columns. Returns the turn that brings the box frame to the
-    axes with its most vertical axis pointing to +z."""
-    base = np.asarray(rotation, dtype=float).T
-    score = base @ np.array([0.0, 0.0, 1.0])
-    axis = int(np.argmax(np.abs(score)))
-    if axis == 2 and score[axis] >= 0:
-        return base
-    up = np.sign(score[axis]) * np.eye(3)[axis]
-    goal = np.array([0.0, 0.0, 1.0])
-    turn_axis = np.cross(up, goal)
-    sine, cosine = np.linalg.norm(turn_axis), float(up @ goal)
-    if sine < 1e-5:
-        return (np.eye(3) if cosine > 0 else np.diag([1.0, -1.0, -1.0])) @ base
-    k = turn_axis / sine
-    skew = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
-    # Rodrigues' formula.
-    turn = np.eye(3) + sine * skew + (1 - cosine) * (skew @ skew)
-    return turn @ base
+    axes with its most vertical axis pointing to +z.
+
+    That axis is one of the six signed unit vectors, so what is left to do after the box frame is a quarter turn about
+    the horizontal axis beside it, a half turn about x, or nothing: a permutation with signs.
+    """
+    box = np.asarray(rotation, dtype=float).T
+    upright = box[:, 2]
+    k = int(np.abs(upright).argmax())
+    sign = -1.0 if upright[k] < 0 else 1.0
+    if k == 2:
+        return np.diag([1.0, sign, sign]) @ box
+    turn = np.eye(3)
+    turn[[k, 2]] = 0.0
+    turn[2, k], turn[k, 2] = sign, -sign
+    return turn @ box
 
 
 def canonical_points(p: Vec, rotation: np.ndarray, centre: Sequence[float]) -> list[Column]:

@@ -71,10 +71,14 @@ CAMERA_TO_BODY = ((0.0, 0.0, 1.0), (-1.0, 0.0, 0.0), (0.0, -1.0, 0.0))
 
 
 def roll_order(rolls: int) -> list[int]:
-    """Indices (into the rolls-1 angles) of the poses added after an insertion frame."""
-    steps = list(range(rolls - 1))
-    half = len(steps) // 2
-    return steps[:half][::-1] + steps[1:-1] + (steps[-half:] if half else steps)[::-1]
+    """Indices (into the rolls-1 angles) of the poses added after an insertion frame.
+
+    The camera sways: from the middle down to the first angle, up over the inner ones, and from the last down to the middle.
+    With a single angle there is no middle, and only the last sweep is left.
+    """
+    last, middle = rolls - 2, (rolls - 1) // 2
+    stop = last - middle if middle else -1
+    return [*range(middle - 1, -1, -1), *range(1, last), *range(last, stop, -1)]
 
 
 def augment_views(
