@@ -69,3 +69,15 @@ def test_face_neighbour_is_null_at_the_border(spark):
 def test_parent_codes_are_prefixes(key, level):
     leaf = (1 << 24) | interleave(key, 8)
     assert leaf >> (3 * level) == (1 << 3 * (8 - level)) | interleave([k >> level for k in key], 8)
+
+
+def test_common_ancestor_of_aligned_keys(spark):
+    """All lower bits differ: the XOR is one below a power of two."""
+    from pyspark.sql import functions as F
+
+    from voxfield.functions import keys
+
+    leaf = lambda code: F.lit((1 << 24) + code).cast("bigint")
+    a, b = leaf(0), leaf((1 << 21) - 1)  # keys (0, 0, 0) and (127, 127, 127) at depth 8
+    row = spark.range(1).select(keys.common_ancestor(a, b).alias("far"), keys.common_ancestor(a, a).alias("same"), keys.common_ancestor(a, leaf(7)).alias("near")).first()
+    assert (row.far, row.same, row.near) == (8, 1 << 24, 1 << 21)

@@ -224,5 +224,6 @@ def common_ancestor(a: Column, b: Column, dims: int = 3) -> Column:
     low = F.least(da, db)
     a, b = ancestor(a, da - low, dims), ancestor(b, db - low, dims)
     diff = a.bitwiseXOR(b)
-    steps = F.when(diff == 0, F.lit(0)).otherwise(node_depth(F.greatest(diff, F.lit(1)), dims) + 1)
+    # Bits are counted, not taken from a logarithm: the XOR may lie just below a power of two.
+    steps = F.when(diff == 0, F.lit(0)).otherwise(F.ceil(F.length(F.bin(diff)) / F.lit(dims)))
     return ancestor(a, steps.cast("int"), dims)

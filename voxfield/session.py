@@ -1,4 +1,4 @@
-"""Session helpers: lineage cuts in the shared folder and size-checked broadcasts."""
+"""Session helpers: lineage cuts in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest row count that may ever be broadcast by an explicit hint.
-BROADCAST_ROWS = 100_000
 
 _LOCAL_DIR: dict[str, str] = {}
 
@@ -23,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIR:
@@ -54,11 +50,6 @@ def free(*cuts: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` provably has at most ``rows`` rows, else leave it to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that comes in fewer files than there are cores, before rows multiply.
 
