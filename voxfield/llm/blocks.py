@@ -112,7 +112,9 @@ class Words:
         # One space after every text keeps words of neighbouring texts apart; eight more bytes let each word be read as 8-byte parts.
         data = np.full(n + len(texts) + 8, 32, np.uint8)
         if n:
-            data[np.arange(n) + np.repeat(np.arange(len(texts)), np.diff(offsets))] = raw
+            used = np.ones(n + len(texts), bool)
+            used[offsets[1:] + np.arange(len(texts))] = False
+            data[: n + len(texts)][used] = raw
         if lower:
             upper = (data >= 65) & (data <= 90)
             data[upper] += 32

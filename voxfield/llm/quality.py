@@ -25,7 +25,7 @@ SAMPLE = 3000
 THRESHOLD = 0.3
 NEWTON, STEPS, RATE, RIDGE = 12, 60, 0.05, 1.0
 #: Text bytes whose features are computed at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _CLASSES = ("lower", "upper", "digit", "bang", "symbol", "bar", "stop", "other", "space", "high")
 
@@ -57,7 +57,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(w):
         return np.zeros((0, 3 * (len(_CLASSES) + 8) + 3)), np.zeros(0), np.zeros(n_texts + 1, np.int64)
     # A word opens a line if it is its text's first or a line feed lies before it.
-    feeds = np.cumsum(w.data == 10)
+    feeds = np.cumsum(w.data == 10, dtype=np.int32)
     text = w.text_of()
     opens = np.r_[True, (text[1:] != text[:-1]) | (feeds[w.start[1:]] != feeds[w.start[:-1]])]
     heads = np.flatnonzero(opens)
@@ -67,8 +67,9 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = (end - begin).astype(float)
     kinds = CLASS[w.data]
     share = []
+    total = np.zeros(len(kinds) + 1, np.int32)
     for c in range(len(_CLASSES)):
-        total = np.concatenate([[0], np.cumsum(kinds == c)])
+        np.cumsum(kinds == c, out=total[1:])
         share.append((total[end] - total[begin]) / size)
     n_words = (tails - heads).astype(float)
     length = (w.end - w.start).astype(float)
