@@ -10,6 +10,9 @@ statement of how many tasks the data needs.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +36,36 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers are kept for later stages, and what they hold counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def one(f: Callable) -> Callable:
+    """``f`` of one table, as the function of a group that gives its memory back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
+
+    return run
+
+
+def two(f: Callable) -> Callable:
+    """``f`` of two tables, as the function of a cogroup that gives its memory back."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def to_bytes(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -79,6 +112,8 @@ def pack(docs: DataFrame, n: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield write(held)
+        held = []
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 

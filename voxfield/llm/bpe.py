@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxfield.llm.blocks import give_back
+
 #: Characters of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 1 << 16, 1 << 11
 #: A boundary this close to the end of a chunk may depend on the characters after it.
 GUARD = 16
 #: Characters that are handed to the encoder before results are passed on.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -77,6 +79,7 @@ def _whole(docs: DataFrame, raw, pattern: str) -> DataFrame:
                 for part in _slices(batch, size):
                     ids = _ids(encoding, part.column("text").to_pylist())
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+            give_back()
 
     return docs.mapInArrow(run, "doc_id bigint, ids array<int>")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfield.llm.blocks import Words
+from voxfield.llm.blocks import Words, give_back
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE = 3000
@@ -217,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 f, _, first = line_features(part.column("text"))
                 rows = [f[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "f"])
+            give_back()
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("doc_id", "label", "text")
     got = rows.mapInArrow(features, "doc_id bigint, label int, f binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
@@ -238,6 +239,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         for batch in batches:
             for part in by_bytes(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(quality(field, part.column("text")))], names=[*columns, "score"])
+            give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, score double")

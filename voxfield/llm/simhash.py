@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxfield import session
-from voxfield.llm.blocks import parts
+from voxfield.llm.blocks import give_back, parts
 from voxfield.llm.components import components
 
 RADIUS = 4
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             texts = batch.column("text").cast(pa.large_binary())
             found = np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            give_back()
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id bigint, fp bigint")

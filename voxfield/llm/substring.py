@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, n_blocks: int | None =
         return pa.table([rows.column("doc_id"), pa.array(words, pa.int64()), pa.array(words - left, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
     by_block = packed.groupBy("block")
-    shared = by_block.applyInArrow(send_anchors, MESSAGE).groupBy("bucket").applyInArrow(judge_anchors, MESSAGE)
-    asked = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_windows, MESSAGE)
-    earlier = asked.groupBy("bucket").applyInArrow(judge_windows, MESSAGE)
-    return by_block.cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(remove, OUT)
+    shared = by_block.applyInArrow(B.one(send_anchors), MESSAGE).groupBy("bucket").applyInArrow(B.one(judge_anchors), MESSAGE)
+    asked = by_block.cogroup(shared.groupBy("block")).applyInArrow(B.two(send_windows), MESSAGE)
+    earlier = asked.groupBy("bucket").applyInArrow(B.one(judge_windows), MESSAGE)
+    return by_block.cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(B.two(remove), OUT)
