@@ -170,3 +170,11 @@ def test_exact_median_of_a_heavy_tail(spark):
     want = pdf.groupby("g").v.median()
     assert np.allclose(got.sort_index(), want.sort_index(), rtol=0, atol=0)
     assert metrics.exact_median(spark.createDataFrame(pdf), "v").first()["median"] == np.median(v)
+
+
+def test_median_with_infinities(spark):
+    inf = float("inf")
+    groups = {"a": [1.0, 2.0, inf], "b": [-inf, 1.0, 3.0, inf], "c": [-1.7e308, 5.0, 1.7e308], "d": [inf, inf], "e": [-inf, -inf, 7.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", float("nan")), ("a", None)]
+    got = {r["g"]: r["median"] for r in metrics.exact_median(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert got == {"a": 2.0, "b": 2.0, "c": 5.0, "d": inf, "e": -inf}

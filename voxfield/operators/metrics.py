@@ -72,11 +72,13 @@ def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     """Exact median per group (the mean of the two middle values), without sorting or collecting a group.
 
     Each pass counts the values of the current range in 1024 bins and keeps the bin that holds the middle
-    rank; the range shrinks to a single value in a few passes whatever the distribution.
+    rank; the range shrinks to a single value in a few passes whatever the distribution. NaN and NULL do not count,
+    infinities do.
     """
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # Every pass reads these two columns again, not the plan behind them.
+    rows = cut(rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
     state = rows.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n"))
     n = F.col("n")
     ranks = F.array(*[F.struct(F.lit(i).alias("half"), F.floor(r / F.lit(2)).cast("bigint").alias("k")) for i, r in ((0, n - 1), (1, n))])
@@ -87,7 +89,11 @@ def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
         if wide.isEmpty():
             break
         inside = rows.join(wide, keys).filter(F.col("_v").between(F.col("lo"), F.col("hi")))
-        at = F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)
+        v, lo, hi, inf = F.col("_v"), F.col("lo"), F.col("hi"), F.lit(float("inf"))
+        # Infinite values get the outer bins; a range wider than a double is measured in halves.
+        at = F.when((lo == -inf) | (hi == inf), F.when(v == -inf, 0).when(v == inf, 1023).otherwise(512))
+        at = at.when(hi - lo == inf, F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * 1024))
+        at = at.otherwise(F.floor((v - lo) / (hi - lo) * 1024))
         bins = inside.groupBy(*keys, "half", "k", F.least(at, F.lit(1023)).alias("bin")).agg(
             F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
         )
