@@ -49,10 +49,12 @@ def test_tolerance_is_inclusive_and_a_tie_goes_back(spark):
     assert got == {"a": 1, "b": 3}
 
 
-def test_pair_once_is_the_greedy_matching(spark):
+@pytest.mark.parametrize("copies", [False, True])
+def test_pair_once_is_the_greedy_matching(spark, copies):
     rng = np.random.default_rng(4)
-    l = pd.DataFrame({"key": 0, "l": np.arange(80), "t": rng.choice(1000, 80, replace=False)})
-    r = pd.DataFrame({"key": 0, "r": np.arange(80), "t": rng.choice(1000, 80, replace=False)})
+    stamps = lambda: rng.choice(60, 80) * 15 if copies else rng.choice(1000, 80, replace=False)
+    l = pd.DataFrame({"key": 0, "l": np.arange(80), "t": stamps()})
+    r = pd.DataFrame({"key": 0, "r": np.arange(80), "t": stamps()})
     got = asof.pair_once(spark.createDataFrame(l), spark.createDataFrame(r), ["key"], 25, "l", "r", width=128)
     got = {(x.l, x.r) for x in got.collect()}
     pairs = sorted((abs(a.t - b.t), a.t, b.t, a.l, b.r) for a in l.itertuples() for b in r.itertuples() if abs(a.t - b.t) <= 25)
@@ -65,6 +67,14 @@ def test_pair_once_is_the_greedy_matching(spark):
     assert got == want
 
 
+def test_a_second_message_of_one_stamp_takes_the_next_pose(spark):
+    scans = spark.createDataFrame([(0, 10, 100), (0, 11, 100)], "key int, l int, t bigint")
+    poses = spark.createDataFrame([(0, 1, 101), (0, 2, 102)], "key int, r int, t bigint")
+    got = asof.pair_once(scans, poses, ["key"], 5, "l", "r").collect()
+    assert sorted((x.l, x.r, x.gap) for x in got) == [(10, 1, 1), (11, 2, 2)]
+    assert asof.pair_once(scans, poses.filter("t > 200"), ["key"], 5, "l", "r").count() == 0
+
+
 def test_numbering_lag_and_running_sum(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"k": rng.integers(0, 3, 500), "f": rng.permutation(100000)[:500], "v": rng.random(500)})

@@ -110,6 +110,16 @@ def test_random_draws_are_whole_and_repeatable(spark):
     assert (d.groupby("frame_id").size() == 50).all() and d.duplicated(["frame_id", "j"]).sum() == 0
 
 
+def test_every_frame_draws_its_own_ids(spark):
+    df = spark.range(3000).selectExpr("id % 1000 AS pt_id", "id div 1000 AS frame_id", "IF(id % 2 = 0, 'a', 'b') AS scene")
+    got = SA.take_random(df, 5, ("frame_id",)).toPandas().groupby("frame_id")["pt_id"].agg(set)
+    assert len(set(map(frozenset, got))) == 3
+    both = SA.take_random(df, 5, ("scene", "frame_id")).toPandas()
+    assert (both.groupby(["scene", "frame_id"]).size() == 5).all()
+    rays = SA.draw_rays(df, 20, ("scene", "frame_id")).toPandas()
+    assert len({tuple(g.sort_values("j").pt_id) for _, g in rays.groupby(["scene", "frame_id"])}) == 6
+
+
 def test_farthest_points_exact(spark):
     p = np.random.default_rng(12).random((200, 3))
     df = spark.createDataFrame(pd.DataFrame({"pt_id": np.arange(200), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}))

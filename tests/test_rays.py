@@ -120,3 +120,11 @@ def test_labels_are_distances_to_the_surface_samples(spark):
     d = np.sqrt(((s[["x", "y", "z"]].to_numpy()[:, None] - hits[None]) ** 2).sum(-1)).min(1)
     want = np.where(s.kind == "surface", 0.0, np.where(s.behind, -d, d))
     assert np.allclose(s.label, want)
+
+
+def test_labels_keep_rays_of_many_samples_apart(spark):
+    rows = [(1, i, "perturbed", False, float(i), 0.0, 0.0) for i in (0, 4095, 4096)] + [(1, 5000, "surface", False, 0.0, 0.0, 0.0)]
+    rows += [(2, 0, "perturbed", False, 0.0, 0.5, 0.0), (2, 1, "surface", False, 0.0, 9.0, 0.0)]
+    df = spark.createDataFrame(rows, "ray_id bigint, s_idx int, kind string, behind boolean, x double, y double, z double")
+    got = {(r.ray_id, r.s_idx): r.label for r in R.sdf_labels(df).collect()}
+    assert len(got) == 6 and got[2, 0] == 0.5 and got[1, 4095] == 4095.0 and abs(got[1, 4096] - 4096.0) < 0.02

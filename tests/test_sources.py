@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxfield.operators import mesh
 from voxfield.sources import chunks, clouds, readers, writers
 
 
@@ -78,6 +79,15 @@ def test_ply_points_and_mesh(spark, tmp_path, kind):
     assert list(map(tuple, t[["a", "b", "c"]].to_numpy())) == f
 
 
+def test_meshes_of_several_files_keep_apart(spark, tmp_path):
+    for i, kind in enumerate(("ascii", "binary_little_endian", "ascii")):
+        (tmp_path / f"{i}.ply").write_bytes(ply([(i, 0, 0), (i, 1, 0), (i, 0, 1)], kind, [(0, 1, 2)]))
+    v, t = clouds.read_mesh(spark, str(tmp_path))
+    assert v.select("path", "vid").distinct().count() == v.count() == 9 and t.count() == 3
+    got = mesh.triangle_corners(t, v).collect()
+    assert sorted((r.ax, r.bx, r.cx, r.by, r.cz) for r in got) == [(i, i, i, 1.0, 1.0) for i in range(3)]
+
+
 def test_scan_folder(spark, tmp_path):
     for i in (0, 3, 12):
         (tmp_path / f"{i:04d}.ply").write_bytes(ply([(i, 0, 0), (i, 1, 0)], "ascii" if i == 3 else "binary_little_endian"))

@@ -19,13 +19,32 @@ def drop_files(spark, pdf, path, parts):
     return spark.read.parquet(str(path)).schema
 
 
-def test_pairing_matches_a_simulation(spark, tmp_path):
-    rng = np.random.default_rng(21)
-    pdf = pd.DataFrame({"key": rng.integers(0, 2, 400), "side": rng.choice(["scan", "pose"], 400), "id": np.arange(400), "t": np.sort(rng.choice(20000, 400, replace=False))})
-    schema = drop_files(spark, pdf, tmp_path / "in", 5)
-    stream = ST.read_stream(spark, str(tmp_path / "in"), schema, max_files=1)
-    ST.start(ST.stream_pair_once(stream, "key", 60, queue=3), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.scan_id, r.pose_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+def run(spark, pdf, folder, sink, cuts):
+    """The sink's result of a table in ordered files (one per trigger), in one file, or in shuffled files (several per trigger)."""
+    rows = pdf.sample(frac=1, random_state=7) if cuts == "shuffled" else pdf
+    schema = drop_files(spark, rows, folder / "in", {"ordered": 4, "one": 1, "shuffled": 64}[cuts])
+    stream = ST.read_stream(spark, str(folder / "in"), schema, max_files=1 if cuts == "ordered" else 40)
+    ST.start_batches(stream, sink, str(folder / "cp")).awaitTermination()
+    if hasattr(sink, "finish"):
+        sink.finish(spark)
+        sink.finish(spark)
+        return sink.result(spark).collect()
+
+
+CUTS = pytest.mark.parametrize("cuts", ["ordered", "one", "shuffled"])
+
+
+def messages(seed, n, span, copies=False):
+    rng = np.random.default_rng(seed)
+    stamps = rng.choice(span, n, replace=copies)
+    return pd.DataFrame({"key": rng.integers(0, 2, n), "side": rng.choice(["scan", "pose"], n), "id": np.arange(n), "t": np.sort(stamps)})
+
+
+@pytest.mark.parametrize("cuts, queue", [("ordered", None), ("one", 3), ("shuffled", None)])
+def test_pairing_matches_a_simulation(spark, tmp_path, cuts, queue):
+    pdf = messages(21, 400, 20000)
+    sink = ST.PairSink(str(tmp_path / "out"), 60, 100 if cuts == "ordered" else None, queue)
+    got = {(r.scan_id, r.pose_id) for r in run(spark, pdf, tmp_path, sink, cuts)}
     want = set()
     for _, g in pdf.groupby("key"):
         wait = {"scan": [], "pose": []}
@@ -38,65 +57,66 @@ def test_pairing_matches_a_simulation(spark, tmp_path):
                 near.remove(m)
                 want.add((r.id, m[1]) if r.side == "scan" else (m[1], r.id))
             else:
-                wait[r.side] = (wait[r.side] + [(r.t, r.id)])[-3:]
+                wait[r.side] = wait[r.side] + [(r.t, r.id)]
+                wait[r.side] = wait[r.side][-queue:] if queue else wait[r.side]
     assert got == want and len(want) > 20
 
 
-def test_nearest_on_a_stream_is_the_batch_result(spark, tmp_path):
-    rng = np.random.default_rng(22)
-    base = pd.Timestamp("2024-01-01")
-    make = lambda n, name: pd.DataFrame({"key": rng.integers(0, 3, n), name: np.arange(n), "ts": base + pd.to_timedelta(np.sort(rng.choice(600_000, n, replace=False)), unit="ms")})
-    scans, poses = make(150, "scan_id"), make(150, "pose_id")
-    s1, s2 = drop_files(spark, scans, tmp_path / "s", 4), drop_files(spark, poses, tmp_path / "p", 4)
-    cast = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))
-    left = cast(ST.read_stream(spark, str(tmp_path / "s"), s1, max_files=1))
-    right = cast(ST.read_stream(spark, str(tmp_path / "p"), s2, max_files=1))
-    out = ST.stream_nearest(left, right, "key", "scan_id", ("pose_id",), "2 seconds", "2 seconds")
-    ST.start(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.scan_id: r.pose_id for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
-    micros = lambda path: cast(spark.read.parquet(str(path))).withColumn("t", F.unix_micros("ts"))
-    batch = asof.asof_nearest(micros(tmp_path / "s"), micros(tmp_path / "p"), ["key"], "t", ("pose_id",), 2_000_000)
-    want = {r.scan_id: (r.pose_id, r.t) for r in batch.collect()}
-    assert set(got) <= set(want) and all(want[k][0] == v for k, v in got.items())
-    # Only scans near the end of the streams may still be waiting for the watermark.
-    end = min(scans.ts.max(), poses.ts.max()).value // 1000 - 10_000_000
-    assert {k for k, (_, t) in want.items() if t < end} <= set(got) and len(got) > 30
-
-
-def test_key_frames_and_numbers_carry_state(spark, tmp_path):
+@CUTS
+def test_nearest_on_a_stream_is_the_batch_result(spark, tmp_path, cuts):
+    pdf = messages(22, 300, 600_000)
+    sink = ST.NearestSink(str(tmp_path / "out"), 2000, 3000 if cuts == "ordered" else None)
+    got = sorted((r.scan_id, r.pose_id, r.gap) for r in run(spark, pdf, tmp_path, sink, cuts))
+    side = lambda name: spark.createDataFrame(pdf[pdf.side == name]).select("key", F.col("id").alias(f"{name}_id"), "t")
+    batch = asof.asof_nearest(side("scan"), side("pose"), ["key"], "t", ("pose_id",), 2000)
+    assert got == sorted((r.scan_id, r.pose_id, abs(r.dt)) for r in batch.collect()) and len(got) > 30
+
+
+@pytest.mark.parametrize("cuts", ["ordered", "shuffled"])
+def test_key_frames_and_numbers_carry_state(spark, tmp_path, cuts):
     rng = np.random.default_rng(23)
-    sets = [sorted(set(rng.choice(30, 12).tolist())) for _ in range(40)]
-    pdf = pd.DataFrame({"scene": "a", "frame_id": np.arange(40), "nodes": sets, "t": np.arange(40) * 10})
-    schema = drop_files(spark, pdf, tmp_path / "in", 8)
-    read = lambda: ST.read_stream(spark, str(tmp_path / "in"), schema, max_files=1)
-    ST.start(ST.stream_key_frames(read(), 0.4), str(tmp_path / "k"), str(tmp_path / "c1")).awaitTermination()
+    sets = [set(rng.choice(30, 12).tolist()) for _ in range(40)]
+    pdf = pd.DataFrame([("a", i, n) for i, s in enumerate(sets) for n in s], columns=["scene", "frame_id", "node"])
+    (tmp_path / "k").mkdir()
+    sink = ST.KeyFrameSink(str(tmp_path / "keys"), 0.4, 3 if cuts == "ordered" else None)
+    got = sorted(r.frame_id for r in run(spark, pdf, tmp_path / "k", sink, cuts))
     last, want = None, []
-    for i, s in enumerate(map(set, sets)):
+    for i, s in enumerate(sets):
         if last is None or len(last & s) / len(last | s) < 0.4:
             want.append(i)
             last = s
-    assert sorted(r.frame_id for r in spark.read.parquet(str(tmp_path / "k")).collect()) == want
-    ST.start(ST.number_stream(read(), "scene"), str(tmp_path / "n"), str(tmp_path / "c2")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "n")).collect()
+    assert got == want
+    (tmp_path / "n").mkdir()
+    sink = ST.NumberSink(str(tmp_path / "seq"), "scene", "t", 20 if cuts == "ordered" else None)
+    got = run(spark, pd.DataFrame({"scene": "a", "t": np.arange(40) * 10}), tmp_path / "n", sink, cuts)
     assert sorted((r.t, r.seq) for r in got) == [(i * 10, i) for i in range(40)]
 
 
-def test_voxel_sink_grows_and_can_be_repeated(spark, tmp_path):
+def test_late_rows_are_kept_apart_and_batches_repeat(spark, tmp_path):
+    sink = ST.NumberSink(str(tmp_path), "key", "t", 5)
+    batch = lambda *ts: spark.createDataFrame([("a", t) for t in ts], "key string, t bigint")
+    sink(batch(0, 10, 20), 0)
+    sink(batch(3, 18, 30), 1)
+    sink(batch(3, 18, 30), 1)
+    sink.finish(spark)
+    assert sorted((r.t, r.seq) for r in sink.result(spark).collect()) == [(0, 0), (10, 1), (18, 2), (20, 3), (30, 4)]
+    assert [r.t for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [3]
+
+
+@CUTS
+def test_voxel_sink_grows_and_can_be_repeated(spark, tmp_path, cuts):
     rng = np.random.default_rng(24)
     pdf = pd.DataFrame(rng.random((600, 3)) * 6 - 3, columns=list("xyz")).assign(scene="a", frame_id=np.repeat(np.arange(6), 100))
-    schema = drop_files(spark, pdf, tmp_path / "in", 6)
     sink = ST.VoxelSink(str(tmp_path / "map"), 1.0, 4, 1)
-    stream = ST.read_stream(spark, str(tmp_path / "in"), schema, max_files=1)
-    ST.start_batches(stream, sink, str(tmp_path / "cp")).awaitTermination()
+    run(spark, pdf, tmp_path, sink, cuts)
     batch = V.occupied_voxels(spark.createDataFrame(pdf), 1.0, 4, 1, ("scene", "frame_id"))
-    want = {r.node for r in batch.collect()}
-    nodes = [r.node for r in sink.voxels(spark).collect()]
-    assert sorted(nodes) == sorted(want)
-    # A batch that is run again writes the same folders.
-    again = spark.createDataFrame(pdf[pdf.frame_id == 2])
-    sink(again, 2)
-    assert sorted(r.node for r in sink.voxels(spark).collect()) == sorted(want)
+    want = sorted({r.node for r in batch.collect()})
+    assert sorted(r.node for r in sink.voxels(spark).collect()) == want
     assert sink.seen(spark).count() == batch.count()
+    if cuts == "one":
+        # A batch that is run again writes the same folder.
+        sink(spark.createDataFrame(pdf), 0)
+        assert sink.seen(spark).count() == batch.count()
 
 
 def test_watchdog_stops_an_idle_query(spark, tmp_path):

@@ -145,21 +145,29 @@ def pair_once(
     Closest pairs first (ties: earlier left, then earlier right). Each round keeps the pairs that are each
     other's nearest message, which are exactly the pairs the greedy order would take, and takes both ends
     out of the pool; no list of all pairs within the slop is ever formed. Messages of one stream with equal
-    stamps are one message, the one with the smallest id.
+    stamps are taken in order of their ids, as many at once as the other side has. Equal rows count once.
     """
-    lefts = cut(left.groupBy(*keys, order).agg(F.min(left_id).alias("_l")))
-    rights = cut(right.groupBy(*keys, order).agg(F.min(right_id).alias("_r")))
+    lefts = cut(left.select(*keys, F.col(order).alias("_lt"), F.col(left_id).alias("_l")).distinct())
+    rights = cut(right.select(*keys, F.col(order).alias("_rt"), F.col(right_id).alias("_r")).distinct())
     done: DataFrame | None = None
     while True:
-        to_right = asof_nearest(lefts, rights, keys, order, ("_r",), slop, width)
-        to_left = asof_nearest(rights, lefts, keys, order, ("_l",), slop, width).select(*keys, "_l", "_r")
-        best = cut(to_right.join(to_left, [*keys, "_l", "_r"]).select(*keys, "_l", "_r", F.abs("dt").alias("gap")))
-        if best.isEmpty():
+        l_at, r_at = lefts.select(*keys, F.col("_lt").alias("t")).distinct(), rights.select(*keys, F.col("_rt").alias("t")).distinct()
+        stamp = F.col("t").alias("_at")
+        to_right = asof_nearest(l_at, r_at.select("*", stamp), keys, "t", ("_at",), slop, width).select(*keys, F.col("t").alias("_lt"), F.col("_at").alias("_rt"))
+        to_left = asof_nearest(r_at, l_at.select("*", stamp), keys, "t", ("_at",), slop, width).select(*keys, F.col("_at").alias("_lt"), F.col("t").alias("_rt"))
+        mutual = cut(to_right.join(to_left, [*keys, "_lt", "_rt"]))
+        if mutual.isEmpty():
             break
+        rank = lambda at, name: F.row_number().over(Window.partitionBy(*keys, at).orderBy(name)).alias("_i")
+        mine = lefts.join(mutual, [*keys, "_lt"]).select("*", rank("_lt", "_l"))
+        yours = rights.join(mutual.select(*keys, "_rt"), [*keys, "_rt"], "left_semi").select("*", rank("_rt", "_r"))
+        best = cut(mine.join(yours, [*keys, "_rt", "_i"]).select(*keys, "_l", "_r", F.abs(F.col("_rt") - F.col("_lt")).alias("gap")))
         done = best if done is None else done.unionByName(best)
         lefts = cut(lefts.join(best.select(*keys, "_l"), [*keys, "_l"], "left_anti"))
         rights = cut(rights.join(best.select(*keys, "_r"), [*keys, "_r"], "left_anti"))
-    done = best if done is None else done
+    if done is None:
+        none = lefts.join(rights, list(keys)).select(*keys, "_l", "_r", (F.col("_rt") - F.col("_lt")).alias("gap"))
+        done = none.filter(F.lit(False))
     return done.select(*keys, F.col("_l").alias(left_id), F.col("_r").alias(right_id), "gap")
 
 

@@ -346,10 +346,11 @@ def sdf_labels(samples: DataFrame, surface: DataFrame | None = None) -> DataFram
     negative behind the surface; 0 on it. Adds ``label``."""
     from voxfield.operators.nearest import nearest_points
 
-    samples = samples.withColumn("_q", F.col("ray_id") * F.lit(4096) + F.col("s_idx"))
-    targets = samples.filter(F.col("kind") == "surface").select(F.col("_q").alias("_t"), *AXES)
+    # Only the distance is used, so targets need no ids of their own.
+    samples = samples.withColumn("_q", F.struct("ray_id", "s_idx"))
+    targets = samples.filter(F.col("kind") == "surface").select(F.lit(0).alias("_t"), *AXES)
     if surface is not None:
-        targets = targets.unionByName(surface.select((-F.monotonically_increasing_id() - 1).alias("_t"), *AXES))
+        targets = targets.unionByName(surface.select(F.lit(0).alias("_t"), *AXES))
     asked = samples.filter(F.col("kind") != "surface")
     near = nearest_points(asked.select("_q", *AXES), targets, "_q", "_t").select("_q", "dist")
     out = samples.join(near, "_q", "left").drop("_q")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from voxfield.functions import geometry as G
 from voxfield.functions.hashing import hash32, uniform
@@ -19,13 +20,22 @@ def _block(draw: Column) -> Column:
     return F.shiftright(draw, 32 - SHUFFLE_BITS)
 
 
+def _group(df: DataFrame, by: Sequence[str]) -> Column:
+    """A number of the row's group, so that ids which repeat in every group are drawn anew in each."""
+    out = F.lit(0).cast("bigint")
+    for name in by:
+        value = F.col(name) if isinstance(df.schema[name].dataType, IntegralType) else F.crc32(F.col(name).cast("string"))
+        out = hash32(value, out).bitwiseAND(F.lit(2147483647))
+    return out
+
+
 def take_random(df: DataFrame, k: int, by: Sequence[str] = (), key: str = "pt_id", ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """K rows per group without replacement; int(total * ratio) rows if k <= 0; all if fewer.
 
-    Rows are ranked by a hash of ``key``. Block counts come first, so that only rows of the blocks that can
+    Rows are ranked by a hash of ``key`` and the group. Block counts come first, so that only rows of the blocks that can
     hold the k smallest hashes are shuffled, and no group, however large, is sorted in one task.
     """
-    draw = hash32(F.col(key), 0, seed)
+    draw = hash32(F.col(key), _group(df, by), seed)
     rows = df.withColumn("_draw", draw).withColumn("_block", _block(F.col("_draw")))
     counts = rows.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
     run = Window.partitionBy(*by).orderBy("_block") if by else Window.orderBy("_block")
@@ -44,11 +54,11 @@ def draw_rays(pixels: DataFrame, k: int, by: Sequence[str] = ("frame_id",), key:
 
     Draws are (frame, j, index) rows that meet the numbered pixels on (frame, index).
     """
-    hashed = pixels.withColumn("_draw", hash32(F.col(key), 0, seed))
+    hashed = pixels.withColumn("_draw", hash32(F.col(key), _group(pixels, by), seed))
     rows = numbered(hashed, by, ("_draw", key), _block(F.col("_draw")), "_i").drop("_draw")
     sizes = pixels.groupBy(*by).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    pick = F.floor(uniform(F.col(by[-1]), F.col("j") + 1, seed) * F.col("_n")).cast("bigint") + 1
+    pick = F.floor(uniform(_group(sizes, by), F.col("j") + 1, seed) * F.col("_n")).cast("bigint") + 1
     return draws.withColumn("_i", pick).drop("_n").join(rows, [*by, "_i"]).drop("_i")
 
 

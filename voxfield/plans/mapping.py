@@ -85,7 +85,7 @@ def build_map(points: DataFrame, poses: DataFrame, cfg: MapConfig, on_step: Call
     mine = points.join(F.broadcast(chosen), "frame_id")
     drawn = sampling.take_random(mine, quota, ("frame_id",))
     rays = frame_rays(drawn, poses)
-    rays = cut(rays.withColumn("ray_id", F.col("frame_id") * F.lit(1 << 24) + F.col("pt_id")))
+    rays = cut(rays.withColumn("ray_id", F.shiftleft(F.col("frame_id").cast("bigint"), 32) + F.col("pt_id")))
     samples = R.ray_samples(rays, cfg.n_stratified, cfg.n_perturbed, cfg.depth_min, cfg.depth_max, cfg.margin, cfg.sigma)
     samples = cut(R.sdf_labels(cut(samples)))
     start = fit.initial_vertices(voxels, cfg.depth, cfg.separate_leaves)

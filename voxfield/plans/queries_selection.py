@@ -131,9 +131,13 @@ def initial_count(spark, sf):
     return SA.initial_count(_selected(spark, sf))
 
 
+#: Number of the frame in the draws of its own points.
+FRAME = f"(({hash32_sql('frame_id')}) & 2147483647)"
+
+
 @query(
     "topk_sample_t1",
-    f"""WITH {PTS_K}, h AS (SELECT pt_id, frame_id, {hash32_sql('pt_id')} AS h FROM pts_k)
+    f"""WITH {PTS_K}, h AS (SELECT pt_id, frame_id, {hash32_sql('pt_id', FRAME)} AS h FROM pts_k)
     SELECT frame_id, pt_id FROM h QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY h, pt_id) <= 20""",
 )
 def topk_sample(spark, sf):
@@ -142,18 +146,29 @@ def topk_sample(spark, sf):
 
 @query(
     "ratio_sample_t1",
-    f"""WITH {PTS_K}, h AS (SELECT pt_id, frame_id, {hash32_sql('pt_id')} AS h FROM pts_k)
+    f"""WITH {PTS_K}, h AS (SELECT pt_id, frame_id, {hash32_sql('pt_id', FRAME)} AS h FROM pts_k)
     SELECT frame_id, pt_id FROM h QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY h, pt_id) <= floor(count(*) OVER (PARTITION BY frame_id) * 0.25::DOUBLE)""",
 )
 def ratio_sample(spark, sf):
     return SA.take_random(views.pts_k(spark, sf), 0, ("frame_id",), ratio=0.25).select("frame_id", "pt_id")
 
 
+@query(
+    "frame_draws_t1",
+    f"""WITH h AS (SELECT l_orderkey AS frame_id, l_linenumber::BIGINT AS pt_id FROM lineitem)
+    SELECT frame_id, pt_id FROM h QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY {hash32_sql('pt_id', FRAME)}, pt_id) <= 2""",
+)
+def frame_draws(spark, sf):
+    # Ids that begin anew in every frame.
+    lines = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").cast("bigint").alias("pt_id"))
+    return SA.take_random(lines, 2, ("frame_id",))
+
+
 @query(
     "ray_draws_t2",
-    f"""WITH {PTS_K}, h AS (SELECT pt_id, frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY {hash32_sql('pt_id')}, pt_id) AS i FROM pts_k),
+    f"""WITH {PTS_K}, h AS (SELECT pt_id, frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY {hash32_sql('pt_id', FRAME)}, pt_id) AS i FROM pts_k),
     n AS (SELECT frame_id, count(*) AS n FROM pts_k GROUP BY frame_id),
-    d AS (SELECT frame_id, j, floor({uniform_sql('frame_id', 'j + 1')} * n)::BIGINT + 1 AS i FROM n, range(100) r(j))
+    d AS (SELECT frame_id, j, floor({uniform_sql(FRAME, 'j + 1')} * n)::BIGINT + 1 AS i FROM n, range(100) r(j))
     SELECT frame_id, j::INTEGER AS j, pt_id FROM d JOIN h USING (frame_id, i)""",
 )
 def ray_draws(spark, sf):

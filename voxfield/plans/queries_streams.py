@@ -22,13 +22,17 @@ from voxfield.sources import chunks, readers, writers
 from voxfield.streaming import streams as ST
 
 
+HOUR = 3_600_000_000
+
+
 def _folder(spark) -> str:
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf, name):
     schema = views.table(spark, sf, name).schema
-    return ST.read_stream(spark, sf, schema, f"{name}.parquet")
+    # A pattern, so that a table may be one file or a folder of part files.
+    return ST.read_stream(spark, f"{sf}/{name}.parque[t]", schema)
 
 
 @query(
@@ -49,32 +53,54 @@ def stream_voxels(spark, sf):
 @query("stream_key_frames_x4", _key_walk())
 def stream_key_frames(spark, sf):
     home = _folder(spark)
-    sets = frame_voxels(spark, sf).groupBy("scene", "frame_id").agg(F.collect_set("node").alias("nodes"))
+    sets = frame_voxels(spark, sf)
     sets.write.parquet(f"{home}/frames")
-    frames = ST.read_stream(spark, f"{home}/frames", sets.schema)
-    ST.start(ST.stream_key_frames(frames, 0.7), f"{home}/keys", f"{home}/checkpoint").awaitTermination()
-    return spark.read.schema("scene string, frame_id bigint").parquet(f"{home}/keys")
+    sink = ST.KeyFrameSink(f"{home}/keys", 0.7)
+    ST.start_batches(ST.read_stream(spark, f"{home}/frames", sets.schema), sink, f"{home}/checkpoint").awaitTermination()
+    sink.finish(spark)
+    return sink.result(spark)
 
 
-@query("stream_sync_x2")
-def stream_sync(spark, sf):
-    home = _folder(spark)
+def _messages(spark, sf):
     ev = _stream(spark, sf, "events").filter(F.col("event_type").isin("view", "click"))
     side = F.when(F.col("event_type") == "view", "scan").otherwise("pose")
-    messages = ev.select(F.col("user_id").alias("key"), side.alias("side"), F.col("event_id").alias("id"), views.micros("ts").alias("t"))
-    ST.start(ST.stream_pair_once(messages, "key", 6 * 3_600_000_000), f"{home}/pairs", f"{home}/checkpoint").awaitTermination()
-    return spark.read.schema("key bigint, scan_id bigint, pose_id bigint, gap bigint").parquet(f"{home}/pairs")
+    return ev.select(F.col("user_id").alias("key"), side.alias("side"), F.col("event_id").alias("id"), views.micros("ts").alias("t"))
 
 
-@query("stream_nearest_x3")
+#: One message after the other, with the list of those that wait.
+SYNC = f"""WITH RECURSIVE {SCANS}, m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, side, id) AS i FROM
+      (SELECT key, 'scan' AS side, scan_id AS id, t FROM scans UNION ALL SELECT key, 'pose', pose_id, t FROM poses)),
+    r(key, i, w, scan_id, pose_id, gap) AS (
+      SELECT DISTINCT key, 0::BIGINT, []::STRUCT(side VARCHAR, id BIGINT, t BIGINT)[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM m
+      UNION ALL
+      SELECT key, i, CASE WHEN b IS NULL THEN list_append(l, {{'side': side, 'id': id, 't': t}}) ELSE list_filter(l, lambda x: x.side = side OR x.id <> b.id) END,
+        CASE WHEN b IS NOT NULL THEN if(side = 'scan', id, b.id) END, CASE WHEN b IS NOT NULL THEN if(side = 'scan', b.id, id) END, b.gap
+      FROM (SELECT *, list_sort(list_transform(list_filter(l, lambda x: x.side <> side), lambda x: {{'gap': t - x.t, 'id': x.id}}))[1] AS b
+        FROM (SELECT m.*, list_filter(r.w, lambda x: m.t - x.t <= {6 * HOUR}) AS l FROM r JOIN m ON m.key = r.key AND m.i = r.i + 1)))
+    SELECT key, scan_id, pose_id, gap FROM r WHERE scan_id IS NOT NULL"""
+
+
+@query("stream_sync_x2", SYNC)
+def stream_sync(spark, sf):
+    home = _folder(spark)
+    sink = ST.PairSink(f"{home}/pairs", 6 * HOUR)
+    ST.start_batches(_messages(spark, sf), sink, f"{home}/checkpoint").awaitTermination()
+    sink.finish(spark)
+    return sink.result(spark)
+
+
+@query(
+    "stream_nearest_x3",
+    f"""WITH {SCANS}, c AS (SELECT s.key, s.scan_id, p.pose_id, abs(p.t - s.t) AS gap, row_number() OVER (PARTITION BY s.key, s.scan_id ORDER BY abs(p.t - s.t), p.t, p.pose_id) AS i
+      FROM scans s JOIN poses p ON p.key = s.key AND abs(p.t - s.t) <= {8 * HOUR})
+    SELECT key, scan_id, pose_id, gap FROM c WHERE i = 1""",
+)
 def stream_nearest(spark, sf):
     home = _folder(spark)
-    kind = lambda k, name: _stream(spark, sf, "events").filter(F.col("event_type") == k).select(
-        F.col("user_id").alias("key"), F.col("event_id").alias(name), F.col("ts").cast("timestamp").alias("ts")
-    )
-    out = ST.stream_nearest(kind("view", "scan_id"), kind("click", "pose_id"), "key", "scan_id", ("pose_id",), "8 hours", "1 hour")
-    ST.start(out, f"{home}/near", f"{home}/checkpoint").awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{home}/near").select("key", "scan_id", "pose_id", "gap")
+    sink = ST.NearestSink(f"{home}/near", 8 * HOUR)
+    ST.start_batches(_messages(spark, sf), sink, f"{home}/checkpoint").awaitTermination()
+    sink.finish(spark)
+    return sink.result(spark).select("key", "scan_id", "pose_id", "gap")
 
 
 @query(
@@ -83,10 +109,10 @@ def stream_nearest(spark, sf):
 )
 def stream_numbers(spark, sf):
     home = _folder(spark)
-    ev = _stream(spark, sf, "events").filter(F.col("event_type") == "view")
-    rows = ev.select(F.col("user_id").alias("key"), F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())).alias("t"))
-    ST.start(ST.number_stream(rows, "key"), f"{home}/seq", f"{home}/checkpoint").awaitTermination()
-    return spark.read.schema("key bigint, t bigint, seq bigint").parquet(f"{home}/seq")
+    sink = ST.NumberSink(f"{home}/seq", "key")
+    ST.start_batches(_messages(spark, sf).filter(F.col("side") == "scan").select("key", "t"), sink, f"{home}/checkpoint").awaitTermination()
+    sink.finish(spark)
+    return sink.result(spark)
 
 
 @query("newest_messages_x6", f"WITH {SCANS} SELECT scan_id FROM scans ORDER BY t DESC LIMIT 500")

@@ -50,6 +50,12 @@ def free(*cuts: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that comes in fewer files than there are cores, before rows multiply.
 

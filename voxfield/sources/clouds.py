@@ -160,9 +160,13 @@ def read_scans(spark: SparkSession, path: str, glob: str = "*.ply", pattern: str
 
 
 def read_mesh(spark: SparkSession, path: str, records: int = RECORDS) -> tuple[DataFrame, DataFrame]:
-    """A PLY mesh as vertices (vid, x, y, z) and triangles (fid, a, b, c). Faces must be triangles."""
+    """PLY meshes as vertices (path, vid, x, y, z) and triangles (path, fid, a, b, c). Faces must be triangles.
+
+    Ids begin at 0 in every file; ascii and binary files may be mixed.
+    """
     head = cut(headers(spark, path))
-    vertices = read_points(spark, path, records=records).select(F.col("pt_id").alias("vid"), "x", "y", "z")
+    vertices = read_points(spark, path, records=records).select("path", F.col("pt_id").alias("vid"), "x", "y", "z")
+    out = []
     plain = head.filter("kind = 'ply_ascii'")
     if not plain.isEmpty():
         lines = text_lines(spark, path).join(plain.select("path", "lines", "n", "faces"), "path")
@@ -172,9 +176,12 @@ def read_mesh(spark: SparkSession, path: str, records: int = RECORDS) -> tuple[D
             F.when(F.get(words, 0) == "3", F.get(words, i).cast("bigint")).otherwise(F.raise_error(F.lit("faces must be triangles")).cast("bigint")).alias(c)
             for i, c in ((1, "a"), (2, "b"), (3, "c"))
         ]
-        return vertices, rows.select("fid", *corners)
+        out.append(rows.select("path", "fid", *corners))
+    binary = head.filter("kind = 'binary'")
+    if binary.isEmpty():
+        return vertices, out[0]
     start = F.col("body") + F.col("n") * F.col("stride")
-    parts = ranges(head.withColumn("base", start), "faces", records, "order", "face_count", "face_index", "base")
+    parts = ranges(binary.withColumn("base", start), "faces", records, "order", "face_count", "face_index", "base")
 
     def read(batches):
         for pdf in batches:
@@ -186,6 +193,7 @@ def read_mesh(spark: SparkSession, path: str, records: int = RECORDS) -> tuple[D
                 if (rows["n"] != 3).any():
                     raise ValueError("faces must be triangles")
                 v = rows["v"].astype(np.int64)
-                yield pd.DataFrame({"fid": np.arange(r.start, r.start + len(rows)), "a": v[:, 0], "b": v[:, 1], "c": v[:, 2]})
+                yield pd.DataFrame({"path": r.path, "fid": np.arange(r.start, r.start + len(rows)), "a": v[:, 0], "b": v[:, 1], "c": v[:, 2]})
 
-    return vertices, parts.mapInPandas(read, "fid bigint, a bigint, b bigint, c bigint")
+    out.append(parts.mapInPandas(read, "path string, fid bigint, a bigint, b bigint, c bigint"))
+    return vertices, out[0] if len(out) == 1 else out[0].unionByName(out[1])

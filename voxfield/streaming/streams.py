@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxfield.functions import geometry as G
+from voxfield.operators import asof, keyframes
 from voxfield.operators import voxelmap as V
+from voxfield.session import exists
 from voxfield.sources import readers
 
 SLOP = "1 second"
@@ -45,22 +45,6 @@ def scan_points(messages: DataFrame, kind: str, depth_scale: float = 1.0, camera
     return pixels.select("frame_id", *[c.alias(a) for a, c in zip("xyz", at)])
 
 
-def number_stream(messages: DataFrame, key: str, t: str = "t") -> DataFrame:
-    """W5/X1 on a stream: consecutive ``seq`` per key in arrival order (by ``t`` within a trigger): (key, t, seq)."""
-
-    def step(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(t)
-        rows["seq"] = range(seen, seen + len(rows))
-        state.update((seen + len(rows),))
-        yield rows[[key, t, "seq"]]
-
-    kind = dict(messages.dtypes)
-    return messages.select(key, t).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind[key]}, {t} {kind[t]}, seq bigint", "seen bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 # -- X2, X3: joining scans and poses ---------------------------------------------------------------
 
 
@@ -73,73 +57,208 @@ def stream_pairs(scans: DataFrame, poses: DataFrame, key: str, slop: str = SLOP,
     return left.join(right, (F.col(key) == F.col(f"p_{key}")) & near)
 
 
-def stream_nearest(scans: DataFrame, poses: DataFrame, key: str, scan_id: str, payload: Sequence[str], slop: str = SLOP, delay: str = SLOP, ts: str = "ts") -> DataFrame:
-    """The pose nearest in time to each scan (tie: earlier), emitted once the watermark shows that no
-    nearer one can come; scans without a pose within ``slop`` are dropped."""
-    pairs = stream_pairs(scans.select(key, scan_id, ts), poses.select(key, ts, *payload), key, slop, delay, ts)
-    gap = F.abs(F.unix_micros(f"p_{ts}") - F.unix_micros(ts))
-    best = F.struct(gap.alias("gap"), F.col(f"p_{ts}").alias("pose_ts"), *[F.col(f"p_{c}").alias(c) for c in payload])
-    # A window of one microsecond is the event time itself, in the form the watermark can close.
-    out = pairs.groupBy(F.window(ts, "1 microsecond"), key, scan_id).agg(F.min(best).alias("_b"))
-    return out.select(key, scan_id, F.col("window.start").alias(ts), "_b.*")
+# -- X1-X4: results in event-time order ---------------------------------------------------------------
 
 
-def stream_pair_once(messages: DataFrame, key: str, slop: int, queue: int = 10, t: str = "t") -> DataFrame:
-    """One-to-one pairing of two message kinds as they arrive: (key, scan_id, pose_id, gap).
+class OrderedSink:
+    """``foreachBatch`` sink that hands rows on in event-time order, however files and triggers cut the input.
 
-    ``messages`` is one stream of (key, side 'scan'|'pose', id, t). A message takes the nearest waiting one of
-    the other side within ``slop`` and both are used up; otherwise it waits in a queue of ``queue`` messages
-    that drops the oldest. The state per key is bounded by the queues.
-    """
-    kind = dict(messages.dtypes)
+    Every batch is written to ``rows``. Rows at least ``delay`` older than the newest stamp (a bigint column ``t``) can no longer be preceded
+    and go through ``step``, whose result is written to ``out``; what later steps need of them is kept in ``state``. ``finish`` hands on
+    the rest at the end of the input, so no tail stays behind. With ``delay=None`` (files in no order at all) nothing is handed on before
+    that. Rows that come later than ``delay`` allows are kept in ``late``.
 
-    def step(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = json.loads(state.get[0]) if state.exists else {"scan": [], "pose": []}
-        rows = pd.concat(list(batches), ignore_index=True).sort_values([t, "side", "id"])
-        found = []
-        for side, ident, at in zip(rows["side"], rows["id"], rows[t]):
-            other = "pose" if side == "scan" else "scan"
-            waiting[other] = [m for m in waiting[other] if at - m[0] <= slop]
-            best = min(waiting[other], key=lambda m: (abs(at - m[0]), m[0], m[1]), default=None)
-            if best is None or abs(at - best[0]) > slop:
-                waiting[side] = [*waiting[side], [int(at), int(ident)]][-queue:]
-                continue
-            waiting[other].remove(best)
-            scan, pose = (ident, best[1]) if side == "scan" else (best[1], ident)
-            found.append((group[0], int(scan), int(pose), int(abs(at - best[0]))))
-        state.update((json.dumps(waiting),))
-        if found:
-            yield pd.DataFrame(found, columns=[key, "scan_id", "pose_id", "gap"])
-
-    return messages.select(key, "side", "id", t).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind[key]}, scan_id bigint, pose_id bigint, gap bigint", "waiting string", "append", GroupStateTimeout.NoTimeout
-    )
+    Folders are named ``batch=N`` and overwritten when a batch is repeated. A stream that goes on after ``finish`` overwrites
+    what it wrote, so it can be called again. The rows must not have a column ``batch``.
+    """
 
+    def __init__(self, path: str, t: str, delay: int | None = None):
+        self.path, self.t, self.delay = path, t, delay
 
-# -- X4: key frames on a stream --------------------------------------------------------------------
+    def step(self, rows: DataFrame, state: DataFrame | None, high: int, last: bool) -> DataFrame:
+        """The result of ``rows``, the next ones in event time, up to ``high``."""
+        raise NotImplementedError
 
+    def carry(self, rows: DataFrame, out: DataFrame, state: DataFrame | None, high: int) -> DataFrame:
+        """What the next step needs; ``out`` is the result that was just written."""
+        raise NotImplementedError
 
-def stream_key_frames(frames: DataFrame, ratio: float) -> DataFrame:
-    """(scene, frame_id) of key frames from (scene, frame_id, nodes array): a frame whose IoU with the
-    last key frame is below ``ratio``. The state of a scene is the last key frame's voxel set."""
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = self._write(batch, "rows", batch_id)
+        before, low = self._released(spark, batch_id)
+        newest = rows.agg(F.max(self.t)).first()[0]
+        high = low if newest is None or self.delay is None else max(newest - self.delay, newest - self.delay if low is None else low)
+        self._write(rows.filter(F.lit(False) if low is None else F.col(self.t) <= F.lit(low)), "late", batch_id)
+        if high is None or high == low:
+            return
+        self._hand_on(spark, batch_id, before, low, high, False)
+        self._write(spark.createDataFrame([(high,)], "high bigint"), "released", batch_id)
+
+    def finish(self, spark: SparkSession) -> None:
+        """Hand on all rows that are still held back."""
+        if not exists(spark, f"{self.path}/rows"):
+            return
+        newest, n = self._read(spark, "rows").agg(F.max(self.t), F.max("batch")).first()
+        if newest is not None:
+            before, low = self._released(spark, n + 1)
+            self._hand_on(spark, n + 1, before, low, newest, True)
+
+    def result(self, spark: SparkSession) -> DataFrame | None:
+        """Everything handed on so far; None if that is nothing."""
+        return self._read(spark, "out").drop("batch") if exists(spark, f"{self.path}/out") else None
+
+    def _hand_on(self, spark, batch_id, before, low, high, last) -> None:
+        rows = self._read(spark, "rows").filter((F.col("batch") <= batch_id) & (F.col(self.t) <= F.lit(high)))
+        rows = (rows if low is None else rows.filter(F.col(self.t) > F.lit(low))).drop("batch")
+        state = None if before is None else spark.read.parquet(f"{self.path}/state/batch={before}")
+        out = self._write(self.step(rows, state, high, last), "out", batch_id)
+        if not last:
+            self._write(self.carry(rows, out, state, high), "state", batch_id)
+
+    def _released(self, spark, batch_id) -> tuple[int | None, int | None]:
+        """The last batch before ``batch_id`` that handed rows on, and up to where."""
+        if not exists(spark, f"{self.path}/released"):
+            return None, None
+        done = self._read(spark, "released").filter(F.col("batch") < batch_id).agg(F.max(F.struct("batch", "high"))).first()[0]
+        return (None, None) if done is None else tuple(done)
+
+    def _read(self, spark, name) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/{name}")
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        path = f"{self.path}/{name}/batch={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class NumberSink(OrderedSink):
+    """W5/X1 on a stream: consecutive ``seq`` from 0 per key in order of ``t``: (key, t, seq). The state is one count per key."""
+
+    def __init__(self, path: str, key: str, t: str = "t", delay: int | None = None):
+        super().__init__(path, t, delay)
+        self.key = key
+
+    def step(self, rows, state, high, last):
+        block = F.floor(F.col(self.t) / F.lit(asof.TIME_BLOCK)).cast("bigint")
+        out = asof.numbered(rows.select(self.key, self.t), [self.key], (self.t,), block, "_nth")
+        seen = F.lit(0)
+        if state is not None:
+            out, seen = out.join(state, self.key, "left"), F.coalesce("_seen", F.lit(0))
+        return out.select(self.key, self.t, (seen + F.col("_nth") - 1).cast("bigint").alias("seq"))
+
+    def carry(self, rows, out, state, high):
+        now = out.groupBy(self.key).agg((F.max("seq") + 1).alias("_seen"))
+        return now if state is None else now.unionByName(state).groupBy(self.key).agg(F.max("_seen").alias("_seen"))
+
+
+class KeyFrameSink(OrderedSink):
+    """(scene, frame_id) of key frames from voxel rows (scene, frame_id, node): the first frame, then every frame whose IoU with
+    the last key frame is below ``ratio``. Frames are ordered by ``frame_id`` and may arrive in pieces; ``delay`` counts
+    frame ids. The state of a scene is the last key frame's voxels."""
+
+    def __init__(self, path: str, ratio: float, delay: int | None = None):
+        super().__init__(path, "frame_id", delay)
+        self.ratio = ratio
+
+    def step(self, rows, state, high, last):
+        rows = rows.select("scene", "frame_id", "node")
+        if state is None:
+            return keyframes.iou_key_frames(rows, self.ratio)
+        # The last key frame of a scene starts its chain again and is not reported twice.
+        keys = keyframes.iou_key_frames(rows.unionByName(state), self.ratio)
+        return keys.join(state.select("scene", "frame_id").distinct(), ["scene", "frame_id"], "left_anti")
+
+    def carry(self, rows, out, state, high):
+        rows, keys = rows.select("scene", "frame_id", "node"), out
+        if state is not None:
+            rows, keys = rows.unionByName(state), keys.unionByName(state.select("scene", "frame_id").distinct())
+        newest = keys.groupBy("scene").agg(F.max("frame_id").alias("frame_id"))
+        return rows.join(newest, ["scene", "frame_id"], "left_semi").distinct()
+
+
+def sync_messages(scans: DataFrame, poses: DataFrame, key: str, scan_id: str, pose_id: str, t: str = "t") -> DataFrame:
+    """Two streams as one of (key, side 'scan'|'pose', id, t), the input of the sinks below."""
+    side = lambda df, name, ident: df.select(F.col(key).alias("key"), F.lit(name).alias("side"), F.col(ident).alias("id"), F.col(t).alias("t"))
+    return side(scans, "scan", scan_id).unionByName(side(poses, "pose", pose_id))
+
+
+class NearestSink(OrderedSink):
+    """The pose nearest in time to each scan (tie: earlier, then smaller id): (key, scan_id, pose_id, t, gap). A scan is answered once
+    no nearer pose can come, by a time-nearest join; scans without a pose within ``slop`` are dropped. The state
+    holds the messages of the last two ``slop``."""
+
+    def __init__(self, path: str, slop: int, delay: int | None = None):
+        super().__init__(path, "t", delay)
+        self.slop = slop
+
+    def _pool(self, rows, state):
+        rows = rows.select("key", "side", "id", "t")
+        return rows if state is None else rows.unionByName(state)
+
+    def step(self, rows, state, high, last):
+        pool = self._pool(rows, state)
+        ready = pool.filter(F.col("side") == "scan").select("key", F.col("id").alias("scan_id"), "t")
+        ready = ready if last else ready.filter(F.col("t") <= F.lit(high - self.slop))
+        poses = pool.filter(F.col("side") == "pose").select("key", F.col("id").alias("pose_id"), "t")
+        near = asof.asof_nearest(ready, poses, ["key"], "t", ("pose_id",), self.slop)
+        return near.select("key", "scan_id", "pose_id", "t", F.abs("dt").alias("gap"))
+
+    def carry(self, rows, out, state, high):
+        keep = F.when(F.col("side") == "scan", F.lit(high - self.slop)).otherwise(F.lit(high - 2 * self.slop))
+        return self._pool(rows, state).filter(F.col("t") > keep - F.when(F.col("side") == "scan", 0).otherwise(1))
+
+
+class PairSink(OrderedSink):
+    """One-to-one pairing of two message kinds in time order (ties: pose, then id): (key, scan_id, pose_id, gap).
+
+    A message takes the nearest waiting one of the other side within ``slop`` and both are used up; otherwise it waits until
+    ``slop`` has passed, so none is lost. ``queue`` bounds the waiting messages of a side and then drops the oldest. Messages more than ``slop``
+    apart never meet: such gaps cut a key into runs, and each run is a group of its own.
+    """
 
-    def step(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = set(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("frame_id")
-        keys = []
-        for frame, nodes in zip(rows["frame_id"], rows["nodes"]):
-            seen = set(map(int, nodes))
-            if last is None or len(last & seen) / max(len(last | seen), 1) < ratio:
-                last = seen
-                keys.append(frame)
-        state.update((sorted(last),))
-        if keys:
-            yield pd.DataFrame({"scene": group[0], "frame_id": keys})
+    def __init__(self, path: str, slop: int, delay: int | None = None, queue: int | None = None):
+        super().__init__(path, "t", delay)
+        self.slop, self.queue = slop, queue
+
+    def _pool(self, rows, state):
+        rows = rows.select("key", "side", "id", "t")
+        return rows if state is None else rows.unionByName(state)
+
+    def step(self, rows, state, high, last):
+        pool = self._pool(rows, state)
+        at = asof.with_previous(pool.select("key", "t").distinct(), ["key"], "t", (), asof.TIME_BLOCK)
+        heads = at.withColumn("_new", F.when(F.col("t") - F.col("prev.t") <= F.lit(self.slop), 0.0).otherwise(1.0)).drop("prev")
+        block = F.floor(F.col("t") / F.lit(asof.TIME_BLOCK)).cast("bigint")
+        runs = asof.running_sum(heads, ["key"], ("t",), block, "_new", "_passed")
+        runs = runs.select("key", "t", (F.col("_passed") + F.col("_new")).cast("bigint").alias("run"))
+        kind = dict(pool.dtypes)
+        schema = f"key {kind['key']}, scan_id {kind['id']}, pose_id {kind['id']}, gap bigint"
+        return pool.join(runs, ["key", "t"]).groupBy("key", "run").applyInPandas(_pairs(self.slop, self.queue), schema)
+
+    def carry(self, rows, out, state, high):
+        pool = self._pool(rows, state).filter(F.col("t") >= F.lit(high - self.slop))
+        used = out.select("key", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("id")) for s in ("scan", "pose")])).alias("_u"))
+        return pool.join(used.select("key", "_u.side", "_u.id"), ["key", "side", "id"], "left_anti")
+
+
+def _pairs(slop: int, queue: int | None) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def run(group, rows):
+        waiting, found = {"scan": [], "pose": []}, []
+        rows = rows.sort_values(["t", "side", "id"])
+        for side, ident, at in zip(rows["side"], rows["id"], rows["t"]):
+            other = "pose" if side == "scan" else "scan"
+            waiting = {k: [m for m in v if at - m[0] <= slop] for k, v in waiting.items()}
+            best = min(waiting[other], key=lambda m: (at - m[0], m[1]), default=None)
+            if best is None:
+                waiting[side] = [*waiting[side], (at, ident)][-queue if queue else None :]
+                continue
+            waiting[other].remove(best)
+            scan, pose = (ident, best[1]) if side == "scan" else (best[1], ident)
+            found.append((group[0], scan, pose, at - best[0]))
+        return pd.DataFrame(found, columns=["key", "scan_id", "pose_id", "gap"])
 
-    kind = dict(frames.dtypes)
-    return frames.select("scene", "frame_id", "nodes").groupBy("scene").applyInPandasWithState(
-        step, f"scene {kind['scene']}, frame_id bigint", "nodes array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+    return run
 
 
 # -- X5, X6: growing voxel table -------------------------------------------------------------------
@@ -153,38 +272,26 @@ def newest(batch: DataFrame, n: int, t: str = "t") -> DataFrame:
 class VoxelSink:
     """``foreachBatch`` sink that keeps the occupied voxels and each frame's seen voxels up to date.
 
-    Every batch writes its own folders (``batch=N``) and overwrites them when it is run again, so a batch
-    that is repeated after a failure changes nothing. A frame must arrive within one batch.
+    Every batch writes its point counts per frame and voxel (``batch=N``) and overwrites them when it is run again, so a batch
+    that is repeated after a failure changes nothing. Counts add up and the threshold applies to their sum, so a frame may
+    arrive in any number of batches.
     """
 
     def __init__(self, path: str, res: float, depth: int, threshold: int = 0, by: tuple[str, ...] = ("scene", "frame_id")):
         self.path, self.res, self.depth, self.threshold, self.by = path, res, depth, threshold, by
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = V.occupied_voxels(batch, self.res, self.depth, self.threshold, self.by).select(*self.by, "node")
-        seen.write.mode("overwrite").parquet(f"{self.path}/seen/batch={batch_id}")
-        fresh = spark.read.parquet(f"{self.path}/seen/batch={batch_id}").select("node").distinct()
-        known = self._table(spark, "voxels", batch_id)
-        fresh = fresh if known is None else V.missing_voxels(fresh, known)
-        fresh.write.mode("overwrite").parquet(f"{self.path}/voxels/batch={batch_id}")
-
-    def _table(self, spark: SparkSession, name: str, before: int | None = None) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            table = spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return None
-        return table if before is None else table.filter(F.col("batch") < before)
-
-    def voxels(self, spark: SparkSession) -> DataFrame:
-        """The occupied leaf voxels so far."""
-        return self._table(spark, "voxels").select("node")
+        counts = V.occupied_voxels(batch, self.res, self.depth, 0, self.by).select(*self.by, "node", "n")
+        counts.write.mode("overwrite").parquet(f"{self.path}/counts/batch={batch_id}")
 
     def seen(self, spark: SparkSession) -> DataFrame:
         """The voxels of each frame so far."""
-        return self._table(spark, "seen").select(*self.by, "node")
+        counts = spark.read.parquet(f"{self.path}/counts").groupBy(*self.by, "node").agg(F.sum("n").alias("n"))
+        return counts.filter(F.col("n") > self.threshold).select(*self.by, "node")
+
+    def voxels(self, spark: SparkSession) -> DataFrame:
+        """The occupied leaf voxels so far."""
+        return self.seen(spark).select("node").distinct()
 
 
 # -- X7-X10: running -------------------------------------------------------------------------------
