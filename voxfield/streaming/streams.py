@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -214,7 +214,7 @@ class PairSink(OrderedSink):
 
     A message takes the nearest waiting one of the other side within ``slop`` and both are used up; otherwise it waits until
     ``slop`` has passed, so none is lost. ``queue`` bounds the waiting messages of a side and then drops the oldest. Messages more than ``slop``
-    apart never meet: such gaps cut a key into runs, and each run is a group of its own.
+    apart never meet: such gaps cut a key into runs, which are dealt out and paired one by one.
     """
 
     def __init__(self, path: str, slop: int, delay: int | None = None, queue: int | None = None):
@@ -234,7 +234,8 @@ class PairSink(OrderedSink):
         runs = runs.select("key", "t", (F.col("_passed") + F.col("_new")).cast("bigint").alias("run"))
         kind = dict(pool.dtypes)
         schema = f"key {kind['key']}, scan_id {kind['id']}, pose_id {kind['id']}, gap bigint"
-        return pool.join(runs, ["key", "t"]).groupBy("key", "run").applyInPandas(_pairs(self.slop, self.queue), schema)
+        ordered = pool.join(runs, ["key", "t"]).repartition("key", "run").sortWithinPartitions("key", "run", "t", "side", "id")
+        return ordered.mapInPandas(_pairs(self.slop, self.queue), schema)
 
     def carry(self, rows, out, state, high):
         pool = self._pool(rows, state).filter(F.col("t") >= F.lit(high - self.slop))
@@ -242,21 +243,26 @@ class PairSink(OrderedSink):
         return pool.join(used.select("key", "_u.side", "_u.id"), ["key", "side", "id"], "left_anti")
 
 
-def _pairs(slop: int, queue: int | None) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def run(group, rows):
-        waiting, found = {"scan": [], "pose": []}, []
-        rows = rows.sort_values(["t", "side", "id"])
-        for side, ident, at in zip(rows["side"], rows["id"], rows["t"]):
-            other = "pose" if side == "scan" else "scan"
-            waiting = {k: [m for m in v if at - m[0] <= slop] for k, v in waiting.items()}
-            best = min(waiting[other], key=lambda m: (at - m[0], m[1]), default=None)
-            if best is None:
-                waiting[side] = [*waiting[side], (at, ident)][-queue if queue else None :]
-                continue
-            waiting[other].remove(best)
-            scan, pose = (ident, best[1]) if side == "scan" else (best[1], ident)
-            found.append((group[0], scan, pose, at - best[0]))
-        return pd.DataFrame(found, columns=["key", "scan_id", "pose_id", "gap"])
+def _pairs(slop: int, queue: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs of sorted runs, row by row: only the waiting messages of one run are held."""
+
+    def run(batches):
+        here, waiting = None, {}
+        for rows in batches:
+            found = []
+            for key, number, side, ident, at in zip(rows["key"], rows["run"], rows["side"], rows["id"], rows["t"]):
+                if (key, number) != here:
+                    here, waiting = (key, number), {"scan": [], "pose": []}
+                other = "pose" if side == "scan" else "scan"
+                waiting = {k: [m for m in v if at - m[0] <= slop] for k, v in waiting.items()}
+                best = min(waiting[other], key=lambda m: (at - m[0], m[1]), default=None)
+                if best is None:
+                    waiting[side] = [*waiting[side], (at, ident)][-queue if queue else None :]
+                    continue
+                waiting[other].remove(best)
+                scan, pose = (ident, best[1]) if side == "scan" else (best[1], ident)
+                found.append((key, scan, pose, at - best[0]))
+            yield pd.DataFrame(found, columns=["key", "scan_id", "pose_id", "gap"])
 
     return run
 
