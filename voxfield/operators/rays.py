@@ -98,8 +98,7 @@ def passed_nodes(
 def first_hit(rays: DataFrame, occupied: DataFrame, res: float, depth: int, ray_id: str = "ray_id") -> DataFrame:
     """The first occupied leaf on each ray: (ray_id, pos, node). Rays that meet none are absent."""
     met = passed_nodes(rays, res, depth, ray_id).join(occupied.select("node"), "node")
-    best = met.groupBy(ray_id).agg(F.min("pos").alias("pos"))
-    return met.join(best, [ray_id, "pos"]).select(ray_id, "pos", "node")
+    return met.groupBy(ray_id).agg(F.min(F.struct("pos", "node")).alias("_b")).select(ray_id, "_b.pos", "_b.node")
 
 
 def ray_nodes(
