@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from voxfield.llm import bpe, catalog, components, mixing, mtree, orderminhash, pitmanyor, quality, simhash, substring, toxicity, urls
+from voxfield.llm import bpe, catalog, components, jaccard, mixing, mtree, orderminhash, pitmanyor, quality, simhash, substring, toxicity, urls
 from voxfield.llm.q_urls import RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,6 +163,44 @@ def test_links_by_blocks_of_a_large_key(spark):
     assert found.select("component").distinct().count() == 1 and found.count() == len(f)
 
 
+def brute_sets(texts):
+    w = [words((t or "").translate(UPPER)) for t in texts]
+    return [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
+
+
+def brute_classes(texts):
+    """The smallest row number of the class of each text at Jaccard 0.8, all pairs compared that share a shingle."""
+    sets, holders = brute_sets(texts), collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or {()}:
+            holders[x].append(i)
+    pairs = {p for h in holders.values() for p in itertools.combinations(h, 2)}
+    return roots(len(texts), [(i, j) for i, j in pairs if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])])
+
+
+def test_near_dedup_stage_against_brute_force(spark, sf):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    edited = [" ".join(w if k not in set(rng.integers(0, 120, 2)) else f"e{i}" for k, w in enumerate(base)) for i in range(40)]
+    given = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in given.collect()] + [(10_000 + i, t) for i, t in enumerate([*edited, "", None, " \t", "one two", "One  two", "a a a a a a", "a a a a a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [rows[i][0] for i, c in enumerate(brute_classes([t for _, t in rows])) if i == c]
+    got = [r.doc_id for r in corpus_pipeline.keep_first(spark, docs, sf).collect()]
+    assert sorted(got) == sorted(want)
+    assert corpus_pipeline.keep_first(spark, empty(docs), sf).count() == 0
+
+
+def test_centres_reach_every_pair_of_a_key(spark):
+    """Chains in which only neighbours are alike: a first centre alone does not connect them."""
+    word = [f"w{x}" for x in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(word[4 * i : 4 * i + 100])) for i in range(60)], "doc_id long, text string")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    assert len(set(brute_classes(texts))) == 1 and len(set(brute_classes(texts[::4]))) == 15
+    assert jaccard.first_rows(docs).count() == 1
+    assert jaccard.first_rows(docs.where("doc_id % 4 = 0")).count() == 15
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 200)] + [(500, 500), (501, None), (None, 502), (601, 600), (600, 601)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
