@@ -201,6 +201,31 @@ def test_centres_reach_every_pair_of_a_key(spark):
     assert jaccard.first_rows(docs.where("doc_id % 4 = 0")).count() == 15
 
 
+def test_stages_keep_rows_with_null_and_shared_ids(spark, sf):
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+    passage = text(20)
+    rows = [(None, text(30)) for _ in range(8)] + [(None, rows_text := text(40)), (None, rows_text), (None, rows_text)]
+    rows += [(7, a := text(30)), (7, text(30)), (7, text(30) + " " + passage), (3, passage + "  " + text(9)), (None, passage + " " + text(30)), (None, a)]
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "x", k, len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, n_words int, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_first(spark, docs, sf).collect()]
+    kept = [r for k, r in enumerate(rows) if k not in (9, 10, len(rows) - 1)]
+    assert collections.Counter(got) == collections.Counter(kept)
+    whole = spark.createDataFrame([(None, rows_text), (None, rows_text)], "doc_id long, text string")
+    assert [tuple(r) for r in corpus_pipeline.keep_first(spark, whole, sf).collect()] == [(None, rows_text)]
+
+    def cut(i, t):
+        """Only ``passage`` and ``a`` are in documents of a smaller id."""
+        if i is None and t == a:
+            return ""
+        return " ".join(t.replace(passage, "").split()) if passage in t and i != 3 else t
+
+    after = corpus_pipeline.drop_repeats(spark, docs, sf)
+    assert after.columns == docs.columns and after.dtypes == docs.dtypes
+    want = collections.Counter((i, c := cut(i, t), None if k % 2 else "x", k, len(c)) for k, (i, t) in enumerate(rows))
+    assert collections.Counter(tuple(r) for r in after.collect()) == want
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 200)] + [(500, 500), (501, None), (None, 502), (601, 600), (600, 601)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxfield.llm import blocks as B
 
@@ -109,18 +111,22 @@ def _candidates(w: B.Words, at, hashes, shared, window: int):
     return starts[w.first[text[starts] + 1] - starts >= window]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, n_blocks: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, n_blocks: int | None = None, carry: tuple[str, ...] = (), same: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): words left once repeated windows are gone, joined by one space.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. One row per input row. A null or empty text has no words
     and an empty kept_text. Rows with the same doc_id count as one document, so they do not remove each other's words. A
     null doc_id stands for a document after all others; all rows without an id count as one such document. An empty table gives an empty
-    result. ``window`` must be at least 8 (anchors of two words or more).
+    result. ``window`` must be at least 8 (anchors of two words or more). Columns named in ``carry`` go along with their rows.
+    With ``same``, a text that loses nothing is its own kept_text, white space and null included.
     """
     if window < PERIOD + 1:
         raise ValueError(f"windows need {PERIOD + 1} words at least")
     n = n_blocks or B.parts(docs.sparkSession)
-    packed = B.pack(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), n)
+    packed = B.pack(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), n)
+    along = docs.select(*carry).schema
+    out_type = ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in along)])
+    out_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), *to_arrow_schema(along)])
 
     def send_anchors(t: pa.Table) -> pa.Table:
         rows, w = _read(t.column("payload"))
@@ -177,9 +183,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, n_blocks: int | None =
         return _answers(t, got, bits, 1)
 
     def remove(t: pa.Table, replies: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
         if not t.num_rows:
-            return schema.empty_table()
+            return out_schema.empty_table()
         rows, w, starts, doc, keys, inverse, bounds, low = windows(t, replies)
         outside = _bits(_replies(replies, 1), bounds)
         gone = starts[outside[inverse] | (doc > low[inverse])]
@@ -200,10 +205,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, n_blocks: int | None =
         kept = [packed_bytes[a : max(b - 1, a)].decode() for a, b in zip(ends[:-1], ends[1:])]
         words = np.diff(w.first)
         left = np.diff(np.concatenate([[0], np.cumsum(keep)])[w.first])
-        return pa.table([rows.column("doc_id"), pa.array(words, pa.int64()), pa.array(words - left, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+        kept = pa.array(kept, pa.string())
+        if same:
+            kept = pc.if_else(pa.array(words == left), rows.column("text"), kept)
+        return pa.table([rows.column("doc_id"), pa.array(words, pa.int64()), pa.array(words - left, pa.int64()), kept, *(rows.column(c) for c in carry)], schema=out_schema)
 
     by_block = packed.groupBy("block")
     shared = by_block.applyInArrow(B.one(send_anchors), MESSAGE).groupBy("bucket").applyInArrow(B.one(judge_anchors), MESSAGE)
     asked = by_block.cogroup(shared.groupBy("block")).applyInArrow(B.two(send_windows), MESSAGE)
     earlier = asked.groupBy("bucket").applyInArrow(B.one(judge_windows), MESSAGE)
-    return by_block.cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(B.two(remove), OUT)
+    return by_block.cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(B.two(remove), out_type)
