@@ -7,6 +7,7 @@ from voxfield.llm import (  # noqa: F401
     q_orderminhash,
     q_pitmanyor,
     q_quality,
+    q_runs,
     q_simhash,
     q_substring,
     q_toxicity,
