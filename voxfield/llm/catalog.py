@@ -1,6 +1,7 @@
 """Queries over the training-data operators, and the SQL that states the same result."""
 
 from voxfield.llm import (  # noqa: F401
+    q_bond,
     q_bpe,
     q_mixing,
     q_mtree,
