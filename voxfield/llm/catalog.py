@@ -6,6 +6,7 @@ from voxfield.llm import (  # noqa: F401
     q_mixing,
     q_mtree,
     q_orderminhash,
+    q_overlap,
     q_pitmanyor,
     q_quality,
     q_runs,
