@@ -7,7 +7,7 @@ listed under these, in the band of its size; bands are wider than the largest ra
 itself and its two neighbours. N-grams that one node lists are dropped before rows are made. The order comes from a table of counts by hash of
 fixed size (``BUCKETS``), so what a third of all texts hold comes last and is listed by texts that hold little else; any order gives the same links.
 
-*Signatures.* A set's bitmap, about one bit per n-gram, holds in each bit the parity of the n-grams that fall on it. Bits in which two bitmaps
+*Signatures.* A set's bitmap, half a bit to one bit per n-gram, holds in each bit the parity of the n-grams that fall on it. Bits in which two bitmaps
 differ number at most the symmetric difference, so (|a| + |b| - differing) / 2 bounds the overlap from above; a larger bitmap is folded to the
 width of a smaller one. Pairs that cannot reach the similarity end there, the others are compared by intersecting their sorted arrays.
 
@@ -37,7 +37,9 @@ WIDTH, PERCENT = 4, 85
 BUCKETS, RANGES = 1 << 20, 16
 #: Listed n-grams that a block holds on average, and below which no further block is made for more parallel work.
 BLOCK, SMALL = 1 << 20, 1 << 15
-GROW = 8
+GROW = 16
+#: Bits of the sieve that keeps most texts that no pair asks for out of the shuffle.
+SIEVE = 1 << 24
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -55,8 +57,8 @@ def needed(total, percent: int):
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parities of the hashes on 64 bits or the least power of two that is not below their number."""
-    width = max(64, 1 << (len(h) - 1).bit_length())
+    """Parities of the hashes on 64 bits or the least power of two that is not below half their number."""
+    width = max(64, 1 << ((len(h) + 1) // 2 - 1).bit_length())
     on = B.mix(h) & B.U(width - 1)
     return np.packbits((np.bincount(on.astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -138,14 +140,15 @@ def _listings(docs: DataFrame, place: np.ndarray, width: int, percent: int) -> D
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """(gram, node, size, sign): listings of n-grams that two nodes or more list."""
+    """(gram, node, size): listings of n-grams that two nodes or more list. Repeated rows of a node meet in one block and count once."""
     spark = sets.sparkSession
     total = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK), min(B.parts(spark), -(-total // SMALL)))
-    out = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sign", pa.binary())])
+    out = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int64())])
 
     def read(t: pa.Table):
         rows = B.unpack(t.column("payload"))
+        rows = rows.take(pa.array(np.unique(rows.column("node").to_numpy(), return_index=True)[1]))
         grams = rows.column("grams").combine_chunks()
         row = np.repeat(np.arange(rows.num_rows), pa.compute.list_value_length(grams).to_numpy())
         return rows, row, grams.flatten().to_numpy().view(np.uint64)
@@ -170,16 +173,27 @@ def _shared(sets: DataFrame) -> DataFrame:
         rows, row, grams = read(t)
         _, inverse, bounds = _distinct(grams, n)
         on = np.flatnonzero(_bits(_replies(replies, 0), bounds)[inverse])
-        held = rows.select(["node", "size", "sign"]).take(pa.array(row[on]))
+        held = rows.select(["node", "size"]).take(pa.array(row[on]))
         return pa.table([pa.array(grams[on].view(np.int64)), *held.columns], schema=out)
 
     by_block = B.pack(sets, n).groupBy("block")
     answers = by_block.applyInArrow(B.one(send), MESSAGE).groupBy("bucket").applyInArrow(B.one(judge), MESSAGE)
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(B.two(keep), "gram bigint, node bigint, size bigint, sign binary")
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(B.two(keep), "gram bigint, node bigint, size bigint")
 
 
 def _arrays(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(node, grams): the sorted set of each of the rows (r0, r1, node)."""
+    """(node, grams): the sorted set of each of the rows (r0, r1, node). A sieve of fixed size by r0 lets few other texts into the join."""
+    bit = F.pmod("r0", F.lit(SIEVE)) + 1  # bit positions count from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    held = np.zeros((SIEVE // 32768, 4096), np.uint8)
+    for r in parts.collect():
+        held[r.part - 1] = np.frombuffer(r.bits, np.uint8)
+    held = held.ravel()
+
+    def sift(batches):
+        for batch in batches:
+            at = batch.column("r0").to_numpy() % SIEVE
+            yield batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
 
     def run(batches):
         for batch in batches:
@@ -188,7 +202,7 @@ def _arrays(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
             B.give_back()
 
-    texts = docs.join(rows, ["r0", "r1"]).select("node", "text").dropDuplicates(["node"])
+    texts = docs.mapInArrow(sift, "text string, r0 bigint, r1 bigint").join(rows, ["r0", "r1"]).select("node", "text").dropDuplicates(["node"])
     return texts.mapInArrow(run, "node bigint, grams array<bigint>")
 
 
@@ -198,20 +212,21 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(open_grams, "gram")
 
 
-def _candidates(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+def _candidates(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of centres with members of their own and the neighbouring tiles that sizes and bitmaps let through."""
 
     def run(batches):
         for batch in batches:
-            a_size, b_size = (batch.column(c).to_numpy() for c in ("size", "c_size"))
-            hit = possible(a_size, b_size, batch.column("sign").to_pylist(), batch.column("c_sign").to_pylist(), percent)
+            a_size, b_size = (batch.column(f"{c}_size").to_numpy() for c in "ab")
+            hit = possible(a_size, b_size, batch.column("a_sign").to_pylist(), batch.column("b_sign").to_pylist(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     near = centres.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
     met = members.join(near, ["gram", "band"]).where(F.col("comp") != F.col("c_comp"))
     met = met.where(F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * percent)
-    met = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "size", "sign", "c_size", "c_sign")
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+    met = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    a, b = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sign").alias(f"{c}_sign")) for c in "ab")
+    return met.join(b, "b").join(a, "a").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -251,15 +266,15 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     sets = session.cut(_listings(docs.select("text", "r0", "r1"), place, width, percent).join(nodes.select("r0", "r1", "node"), ["r0", "r1"]).select("node", "size", "sign", "grams"))
     step = math.log(1 / (0.99 * percent / 100))
     band = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
-    members = session.cut(_mixed(_shared(sets).distinct().select("gram", band.alias("band"), "node", F.col("node").alias("comp"), "size", "sign")))
-    session.free(sets)
-    arrays = session.cut(_arrays(docs.select("text", "r0", "r1"), nodes.join(members.select("node").distinct(), "node", "left_semi").select("r0", "r1", "node"), width))
+    members = session.cut(_shared(sets.select("node", "size", "grams")).select("gram", band.alias("band"), "node", F.col("node").alias("comp"), "size"))
     links, centres = None, 1
     while members.take(1):
         salt = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
-        middle = members.groupBy("gram", "band", salt.alias("salt")).agg(F.min(F.struct("node", "comp", "size", "sign")).alias("m"))
-        middle = session.cut(middle.select("gram", "band", *[F.col(f"m.{c}").alias(d) for c, d in (("node", "centre"), ("comp", "c_comp"), ("size", "c_size"), ("sign", "c_sign"))]))
-        pairs = session.cut(_candidates(members, middle, percent))
+        middle = members.groupBy("gram", "band", salt.alias("salt")).agg(F.min(F.struct("node", "comp", "size")).alias("m"))
+        middle = session.cut(middle.select("gram", "band", *[F.col(f"m.{c}").alias(d) for c, d in (("node", "centre"), ("comp", "c_comp"), ("size", "c_size"))]))
+        pairs = session.cut(_candidates(members, middle, sets, percent))
+        wanted = session.cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("r0", "r1", "node"))
+        arrays = session.cut(_arrays(docs.select("text", "r0", "r1"), wanted, width))
         new = _links(pairs, arrays, percent)
         links, old = session.cut(new if links is None else links.unionByName(new)), links
         if named is not None:
@@ -268,9 +283,9 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         left = members.join(middle, (members.gram == middle.gram) & (members.node == middle.centre), "left_anti").drop("comp")
         left = left.join(named.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         after = session.cut(_mixed(left.select(*members.columns)))
-        session.free(members, middle, pairs, *([old] if old is not None else []))
+        session.free(members, middle, pairs, wanted, arrays, *([old] if old is not None else []))
         members, centres = after, GROW * centres
-    session.free(members, arrays, *([links] if links is not None else []))
+    session.free(members, sets, *([links] if links is not None else []))
     if named is not None:
         nodes = nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
