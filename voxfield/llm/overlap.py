@@ -7,13 +7,14 @@ listed under these, in the band of its size; bands are wider than the largest ra
 itself and its two neighbours. N-grams that one node lists are dropped before rows are made. The order comes from a table of counts by hash of
 fixed size (``BUCKETS``), so what a third of all texts hold comes last and is listed by texts that hold little else; any order gives the same links.
 
-*Signatures.* A set's bitmap, half a bit to one bit per n-gram, holds in each bit the parity of the n-grams that fall on it. Bits in which two bitmaps
+*Signatures.* A set's bitmap, four to eight bits per n-gram, holds in each bit the parity of the n-grams that fall on it. Bits in which two bitmaps
 differ number at most the symmetric difference, so (|a| + |b| - differing) / 2 bounds the overlap from above; a larger bitmap is folded to the
 width of a smaller one. Pairs that cannot reach the similarity end there, the others are compared by intersecting their sorted arrays.
 
-*Rounds.* In a tile, centres are compared with the members that are not yet of their component: one centre in the first round, ``GROW`` times as many in
-each further one. Centres are done afterwards, and so is an n-gram whose members are one component. Near copies are thus met about
-once each, not in all pairs, and every pair of a tile is either compared or already connected.
+*Rounds.* First one centre per tile is compared with the members, which joins most near copies at little cost. Then whole tiles are compared
+by bitmap, but only across the components found so far. Two rounds take a spanning forest of a tile's candidate pairs, those with the closest bitmaps
+first; the last takes every candidate pair that is left, so that each pair of a tile is excluded, verified or already connected. Tiles of more than
+``TILE`` members are dealt out, and every two of their parts are compared in a group of their own.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ WIDTH, PERCENT = 4, 85
 BUCKETS, RANGES = 1 << 20, 16
 #: Listed n-grams that a block holds on average, and below which no further block is made for more parallel work.
 BLOCK, SMALL = 1 << 20, 1 << 15
-GROW = 16
+FORESTS = 2
+#: Members of one part of a tile, and rows of the tiles that are compared in one group.
+TILE, GROUP = 1 << 12, 1 << 14
 #: Bits of the sieve that keeps most texts that no pair asks for out of the shuffle.
 SIEVE = 1 << 24
 
@@ -57,26 +60,71 @@ def needed(total, percent: int):
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parities of the hashes on 64 bits or the least power of two that is not below half their number."""
-    width = max(64, 1 << ((len(h) + 1) // 2 - 1).bit_length())
+    """Parities of the hashes on 64 bits or the least power of two that is not below four times their number."""
+    width = max(64, 1 << (4 * len(h) - 1).bit_length())
     on = B.mix(h) & B.U(width - 1)
     return np.packbits((np.bincount(on.astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(m: np.ndarray, words: int) -> np.ndarray:
+    while m.shape[1] > words:
+        m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    return m
+
+
 def possible(a_size, b_size, a_sign: list[bytes], b_sign: list[bytes], percent: int) -> np.ndarray:
     """Whether the bitmaps leave room for the similarity, pair by pair."""
     out = np.ones(len(a_size), bool)
     a_len, b_len = (np.array([len(s) for s in side], np.int64) for side in (a_sign, b_sign))
     for x, y in set(zip(a_len.tolist(), b_len.tolist())):
         at = np.flatnonzero((a_len == x) & (b_len == y))
-        a, b = (np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1) for side in (a_sign, b_sign))
-        while a.shape[1] != b.shape[1]:
-            a, b = (m if m.shape[1] == min(a.shape[1], b.shape[1]) else m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :] for m in (a, b))
+        a, b = (_folded(np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1), min(x, y) // 8) for side in (a_sign, b_sign))
         total = a_size[at] + b_size[at]
         out[at] = (total - np.bitwise_count(a ^ b).sum(1, dtype=np.int64)) // 2 >= needed(total, percent)
     return out
 
 
+def tile_pairs(size: np.ndarray, comp: np.ndarray, sign: list[bytes], percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of pairs of different components that sizes and bitmaps let through; with ``forest``, closest first, as far as they join."""
+    order = np.argsort(size, kind="stable")
+    size, comp = size[order], comp[order]
+    words = np.array([len(sign[i]) // 8 for i in order])
+    last = np.searchsorted(size, size * 100 // percent, "right")
+    found = []
+    for w in np.unique(words):
+        rows = np.flatnonzero(words == w)
+        own = np.frombuffer(b"".join(sign[order[i]] for i in rows), np.uint64).reshape(len(rows), -1)
+        for v in np.unique(words[rows[0] : last[rows[-1]]]):
+            if v < w:
+                continue
+            others = np.flatnonzero(words == v)
+            theirs = _folded(np.frombuffer(b"".join(sign[order[i]] for i in others), np.uint64).reshape(len(others), -1), w)
+            step = max(1, (1 << 21) // max(1, len(others) * w))
+            for i in range(0, len(rows), step):
+                r = rows[i : i + step]
+                a, b = np.nonzero((others[None, :] > r[:, None]) & (others[None, :] < last[r][:, None]) & (comp[others][None, :] != comp[r][:, None]))
+                differ = np.bitwise_count(own[i : i + step][a] ^ theirs[b]).sum(1, dtype=np.int64)
+                a, b = r[a], others[b]
+                on = (size[a] + size[b] - differ) // 2 >= needed(size[a] + size[b], percent)
+                found.append((a[on], b[on], differ[on]))
+    a, b, differ = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    if forest and len(a):
+        names, label = np.unique(comp, return_inverse=True)
+        root, keep = list(range(len(names))), []
+        for i in np.argsort(differ / (size[a] + size[b]), kind="stable"):
+            ends = []
+            for x in (label[a[i]], label[b[i]]):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                ends.append(x)
+            if ends[0] != ends[1]:
+                root[max(ends)] = min(ends)
+                keep.append(i)
+        a, b = a[keep], b[keep]
+    return order[a], order[b]
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """Rows (kind 0: the row's keys, size and 128-bit hash of its set) and counts (kind 1: one row per range and task)."""
 
@@ -212,8 +260,8 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(open_grams, "gram")
 
 
-def _candidates(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of centres with members of their own and the neighbouring tiles that sizes and bitmaps let through."""
+def _around_centres(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of each tile's smallest node with members of its own and the neighbouring tiles that sizes and bitmaps let through."""
 
     def run(batches):
         for batch in batches:
@@ -221,12 +269,36 @@ def _candidates(members: DataFrame, centres: DataFrame, sets: DataFrame, percent
             hit = possible(a_size, b_size, batch.column("a_sign").to_pylist(), batch.column("b_sign").to_pylist(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
+    centres = members.groupBy("gram", "band").agg(F.min(F.struct("node", "size")).alias("m")).select("gram", "band", F.col("m.node").alias("centre"), F.col("m.size").alias("c_size"))
     near = centres.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
-    met = members.join(near, ["gram", "band"]).where(F.col("comp") != F.col("c_comp"))
+    met = members.join(near, ["gram", "band"]).where(F.col("node") != F.col("centre"))
     met = met.where(F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * percent)
     met = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     a, b = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sign").alias(f"{c}_sign")) for c in "ab")
-    return met.join(b, "b").join(a, "a").mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.join(b, "b").join(a, "a").mapInArrow(run, "a bigint, b bigint")
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct (a, b) of candidate pairs between components inside the tiles of every n-gram."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, node, size, comp = (t.column(c).to_numpy() for c in ("key", "node", "size", "comp"))
+        sign = t.column("sign").to_pylist()
+        order = np.argsort(key, kind="stable")
+        out = [np.zeros((2, 0), np.int64)]
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            a, b = tile_pairs(size[at], comp[at], [sign[i] for i in at], percent, forest)
+            out.append(np.sort(np.stack([node[at[a]], node[at[b]]]), axis=0))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    count = members.count()
+    big = members.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("gram", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    rows = members.join(big, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("node", "size", "comp", F.xxhash64("gram", F.least("s", "p"), F.greatest("s", "p")).alias("key")).join(sets.select("node", "sign"), "node")
+    groups = max(1, -(-count // GROUP), min(B.parts(members.sparkSession), -(-count // 512)))
+    return rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).groupBy("group").applyInArrow(B.one(run), "a bigint, b bigint").distinct()
 
 
 def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -262,29 +334,25 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     nodes = rows.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("r0", "r1")).alias("r"), F.min("doc_id").alias("least"))
     # Numbers are given while the table is written, and read from it ever after.
     nodes = session.cut(nodes.select("s0", "s1", "r.*", "least", F.monotonically_increasing_id().alias("node")))
-    named = None
     sets = session.cut(_listings(docs.select("text", "r0", "r1"), place, width, percent).join(nodes.select("r0", "r1", "node"), ["r0", "r1"]).select("node", "size", "sign", "grams"))
     step = math.log(1 / (0.99 * percent / 100))
     band = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
     members = session.cut(_shared(sets.select("node", "size", "grams")).select("gram", band.alias("band"), "node", F.col("node").alias("comp"), "size"))
-    links, centres = None, 1
-    while members.take(1):
-        salt = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
-        middle = members.groupBy("gram", "band", salt.alias("salt")).agg(F.min(F.struct("node", "comp", "size")).alias("m"))
-        middle = session.cut(middle.select("gram", "band", *[F.col(f"m.{c}").alias(d) for c, d in (("node", "centre"), ("comp", "c_comp"), ("size", "c_size"))]))
-        pairs = session.cut(_candidates(members, middle, sets, percent))
+    links = named = None
+    for k in range(FORESTS + 2):
+        if not members.take(1):
+            break
+        pairs = session.cut(_across(members, sets, percent, k <= FORESTS) if k else _around_centres(members, sets, percent))
         wanted = session.cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("r0", "r1", "node"))
         arrays = session.cut(_arrays(docs.select("text", "r0", "r1"), wanted, width))
         new = _links(pairs, arrays, percent)
         links, old = session.cut(new if links is None else links.unionByName(new)), links
-        if named is not None:
-            session.free(named)
+        session.free(pairs, wanted, arrays, *([old] if old is not None else []), *([named] if named is not None else []))
         named = session.cut(components(links))
-        left = members.join(middle, (members.gram == middle.gram) & (members.node == middle.centre), "left_anti").drop("comp")
-        left = left.join(named.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        after = session.cut(_mixed(left.select(*members.columns)))
-        session.free(members, middle, pairs, wanted, arrays, *([old] if old is not None else []))
-        members, centres = after, GROW * centres
+        if k <= FORESTS:
+            left = members.drop("comp").join(named.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            members, old = session.cut(_mixed(left.select(*members.columns))), members
+            session.free(old)
     session.free(members, sets, *([links] if links is not None else []))
     if named is not None:
         nodes = nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
