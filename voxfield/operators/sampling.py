@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,26 +22,37 @@ def _block(draw: Column) -> Column:
 
 def _group(df: DataFrame, by: Sequence[str]) -> Column:
     """A number of the row's group, so that ids which repeat in every group are drawn anew in each."""
-    out = F.lit(0).cast("bigint")
-    for name in by:
-        value = F.col(name) if isinstance(df.schema[name].dataType, IntegralType) else F.crc32(F.col(name).cast("string"))
-        out = hash32(value, out).bitwiseAND(F.lit(2147483647))
-    return out
+    values = [F.col(name) if isinstance(df.schema[name].dataType, IntegralType) else F.crc32(F.col(name).cast("string")) for name in by]
+    if not values:
+        return F.lit(0).cast("bigint")
+    # A fold, so that the hash of each column is written once, whatever their number.
+    step = lambda out, value: hash32(value, out).bitwiseAND(F.lit(2147483647))
+    return F.aggregate(F.array(*[v.cast("bigint") for v in values]), F.lit(0).cast("bigint"), step)
 
 
-def take_random(df: DataFrame, k: int, by: Sequence[str] = (), key: str = "pt_id", ratio: float = 1.0, seed: int = 0) -> DataFrame:
-    """K rows per group without replacement; int(total * ratio) rows if k <= 0; all if fewer.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once per row, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def take_random(df: DataFrame, k: int | str, by: Sequence[str] = (), key: str = "pt_id", ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """K rows per group without replacement; int(total * ratio) rows if k <= 0; all if fewer. ``k`` may name a column
+    that holds each group's own number.
 
     Rows are ranked by a hash of ``key`` and the group. Block counts come first, so that only rows of the blocks that can
     hold the k smallest hashes are shuffled, and no group, however large, is sorted in one task.
     """
-    draw = hash32(F.col(key), _group(df, by), seed)
+    draw = _let(_group(df, by), lambda group: hash32(F.col(key), group, seed))
     rows = df.withColumn("_draw", draw).withColumn("_block", _block(F.col("_draw")))
-    counts = rows.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    asked = [F.max(k).alias("_k")] if isinstance(k, str) else []
+    counts = rows.groupBy(*by, "_block").agg(F.count("*").alias("_n"), *asked)
     run = Window.partitionBy(*by).orderBy("_block") if by else Window.orderBy("_block")
     whole = Window.partitionBy(*by) if by else Window.partitionBy()
     counts = counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n"))
-    want = F.lit(k) if k > 0 else F.floor(F.sum("_n").over(whole) * F.lit(float(ratio))).cast("bigint")
+    if isinstance(k, str):
+        want = F.max("_k").over(whole)
+    else:
+        want = F.lit(k) if k > 0 else F.floor(F.sum("_n").over(whole) * F.lit(float(ratio))).cast("bigint")
     counts = counts.withColumn("_k", want).filter(F.col("_before") < F.col("_k")).drop("_n")
     near = rows.join(counts, [*by, "_block"])
     rank = F.row_number().over(Window.partitionBy(*by, "_block").orderBy("_draw", key))
@@ -54,11 +65,11 @@ def draw_rays(pixels: DataFrame, k: int, by: Sequence[str] = ("frame_id",), key:
 
     Draws are (frame, j, index) rows that meet the numbered pixels on (frame, index).
     """
-    hashed = pixels.withColumn("_draw", hash32(F.col(key), _group(pixels, by), seed))
+    hashed = pixels.withColumn("_draw", _let(_group(pixels, by), lambda group: hash32(F.col(key), group, seed)))
     rows = numbered(hashed, by, ("_draw", key), _block(F.col("_draw")), "_i").drop("_draw")
     sizes = pixels.groupBy(*by).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    pick = F.floor(uniform(_group(sizes, by), F.col("j") + 1, seed) * F.col("_n")).cast("bigint") + 1
+    pick = _let(_group(sizes, by), lambda group: F.floor(uniform(group, F.col("j") + 1, seed) * F.col("_n")).cast("bigint") + 1)
     return draws.withColumn("_i", pick).drop("_n").join(rows, [*by, "_i"]).drop("_i")
 
 

@@ -19,7 +19,7 @@ from voxfield.functions import geometry as G
 from voxfield.operators import field as FD
 from voxfield.operators import voxelmap as V
 from voxfield.operators.metrics import masked_mean
-from voxfield.session import cut
+from voxfield.session import cut, free
 
 AXES = "xyz"
 KIND = {"surface": "surface", "perturbed": "perturbation", "stratified": "space"}
@@ -181,13 +181,16 @@ def fit_vertices(
     betas: tuple[float, float] = (0.9, 0.999),
     separate_leaves: bool = False,
     on_step: Callable[[int, DataFrame], None] | None = None,
+    done: int = 0,
+    moments: bool = False,
 ) -> DataFrame:
     """L1: Adam on the vertex parameters from labelled samples (x, y, z, kind, behind, label).
 
     Sample voxels are looked up once. A step joins samples with corner rows, sums sub-gradients per voxel in
     the map side, spreads them to vertices and updates the parameters and both Adam moments, which are columns of
     the vertex table. Each step's table is written to the shared folder, so the plan does not grow.
-    ``on_step(step, losses)`` gets the loss row of every step (V3).
+    ``on_step(step, losses)`` gets the loss row of every step (V3). ``done`` steps came before; moments that the vertices
+    bring are carried on, and returned with ``moments``. Rows of other columns keep them.
     """
     cfg = cfg or Losses()
     placed = FD.locate(samples, nodes, res, depth).filter(F.col("node").isNotNull())
@@ -195,13 +198,14 @@ def fit_vertices(
     n = {r["kind"]: r["n"] for r in placed.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     used = placed.select("node").distinct()
     names = ["sdf", *[f"g{a}" for a in AXES]]
-    state = vertices.select("ns", "vx", "vy", "vz", *names)
-    state = cut(state.withColumns({f"{m}_{c}": F.lit(0.0) for c in names for m in "mv"}))
+    held = [f"{m}_{c}" for c in names for m in "mv"]
+    state = vertices.withColumns({c: F.lit(0.0) for c in held if c not in vertices.columns})
+    state = cut(state.select("ns", "vx", "vy", "vz", *names, *held))
     # What does not change over the steps is laid out once.
     used = cut(used)
     corners = cut(V.voxel_corners(used, depth, separate_leaves=separate_leaves))
     placed = cut(placed.join(FD.voxel_boxes(used, res, depth), "node"))
-    for step in range(1, steps + 1):
+    for step in range(done + 1, done + steps + 1):
         rows = FD.interpolate(placed.join(FD.join_corner_values(corners, state), "node"))
         if on_step:
             on_step(step, loss_report(rows, cfg, {"prior": ("sdf_prior", [f"grad_{a}" for a in AXES])}))
@@ -214,8 +218,29 @@ def fit_vertices(
             v = F.col(f"v_{c}") * betas[1] + d * d * (1 - betas[1])
             new[f"m_{c}"], new[f"v_{c}"] = m, v
             new[c] = F.col(c) - F.lit(rate) * (m / (1 - betas[0] ** step)) / (F.sqrt(v / (1 - betas[1] ** step)) + 1e-8)
-        state = cut(joined.withColumns(new).select(*state.columns))
-    return state.select("ns", "vx", "vy", "vz", *names)
+        before, state = state, cut(joined.withColumns(new).select(*state.columns))
+        free(before)
+    free(placed, used, corners)
+    return state if moments else state.select("ns", "vx", "vy", "vz", *names)
+
+
+def idle_steps(vertices: DataFrame, upto: int, rate: float, betas: tuple[float, float] = (0.9, 0.999), last: str = "at") -> DataFrame:
+    """Adam steps without a pull, from step ``last`` of each vertex to ``upto``: what the moments still move is added in one go.
+
+    Steps after the 400th add less than the last digit of a double (0.9^400 < 1e-18) and only shrink the moments.
+    """
+    names = ["sdf", *[f"g{a}" for a in AXES]]
+    k, b1, b2 = f"({upto} - {last})", betas[0], betas[1]
+    out = {}
+    for c in names:
+        term = (
+            f"(m_{c} * pow({b1}D, j) / (1 - pow({b1}D, {last} + j))) / (sqrt(v_{c} * pow({b2}D, j) / (1 - pow({b2}D, {last} + j))) + 1e-8D)"
+        )
+        moved = f"aggregate(sequence(1, least({k}, 400)), 0D, (s, j) -> s + {term})"
+        out[c] = F.expr(f"if({k} <= 0 OR m_{c} = 0, {c}, {c} - {rate}D * {moved})")
+        out[f"m_{c}"] = F.expr(f"m_{c} * pow({b1}D, {k})")
+        out[f"v_{c}"] = F.expr(f"v_{c} * pow({b2}D, {k})")
+    return vertices.select(*[out[c].alias(c) if c in out else F.lit(upto).alias(c) if c == last else F.col(c) for c in vertices.columns])
 
 
 # -- L3: the residual network ----------------------------------------------------------------------
