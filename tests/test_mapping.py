@@ -52,17 +52,6 @@ def test_batch_mapping_learns_the_ball(spark, room):
     assert mae < 0.15, got
 
 
-def test_incremental_mapping_extends_the_map(spark, room):
-    points, poses = room
-    cfg = config()
-    cfg.steps = 2
-    one = mapping.update_map(None, points.filter("frame_id = 0"), poses, cfg, 0)
-    two = mapping.update_map(one, points.filter("frame_id = 1"), poses, cfg, 1)
-    assert two.voxels.count() >= one.voxels.count()
-    assert two.frame_voxels.select("frame_id").distinct().count() == 2
-    assert fit.iteration_schedule(2) == 10 and fit.iteration_schedule(3) == 1
-
-
 def test_surface_scores_of_equal_and_moved_meshes(spark):
     v = [(0.0 if not i & 1 else 1.0, 0.0 if not i & 2 else 1.0, 0.0 if not i & 4 else 1.0) for i in range(8)]
     f = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]

@@ -1,4 +1,4 @@
-"""The three entry points: batch mapping, mapping of a stream, and evaluation."""
+"""Entry points: batch mapping and evaluation. Mapping batch by batch is in ``incremental``."""
 
 from __future__ import annotations
 
@@ -80,14 +80,16 @@ def build_map(points: DataFrame, poses: DataFrame, cfg: MapConfig, on_step: Call
     key_sets = seen.join(keys, ["scene", "frame_id"], "left_semi")
     picks, _ = keyframes.greedy_cover(key_sets, cfg.window)
     chosen = picks.select("frame_id").distinct()
-    quota = cfg.rays // max(chosen.count(), 1)
+    quota = sampling.split_quota(chosen.withColumn("samples", F.lit(0)), cfg.rays).select("frame_id", "quota")
     # The window is a handful of frames.
-    mine = points.join(F.broadcast(chosen), "frame_id")
-    drawn = sampling.take_random(mine, quota, ("frame_id",))
+    mine = points.join(F.broadcast(quota), "frame_id")
+    drawn = sampling.take_random(mine, "quota", ("frame_id",)).drop("quota")
     rays = frame_rays(drawn, poses)
     rays = cut(rays.withColumn("ray_id", F.shiftleft(F.col("frame_id").cast("bigint"), 32) + F.col("pt_id")))
     samples = R.ray_samples(rays, cfg.n_stratified, cfg.n_perturbed, cfg.depth_min, cfg.depth_max, cfg.margin, cfg.sigma)
     samples = cut(R.sdf_labels(cut(samples)))
+    low, high = cfg.low or (-float("inf"),) * 3, cfg.high or (float("inf"),) * 3
+    samples = cut(FD.valid_samples(samples, voxels, cfg.res, cfg.depth, low, high).drop("node"))
     start = fit.initial_vertices(voxels, cfg.depth, cfg.separate_leaves)
     vertices = fit.fit_vertices(
         samples, voxels, start, cfg.res, cfg.depth, cfg.steps, cfg.rate, cfg.losses, separate_leaves=cfg.separate_leaves, on_step=on_step
@@ -95,29 +97,6 @@ def build_map(points: DataFrame, poses: DataFrame, cfg: MapConfig, on_step: Call
     return Map(voxels, vertices, seen, keys, samples)
 
 
-def update_map(state: Map | None, points: DataFrame, poses: DataFrame, cfg: MapConfig, seen_frames: int) -> Map:
-    """One micro-batch of scans: insert voxels, extend the vertex table, fit for the scheduled steps.
-
-    Known vertices keep their values; new ones start fresh. Usable as the body of ``foreachBatch``.
-    """
-    steps = fit.iteration_schedule(seen_frames, first_steps=cfg.steps)
-    once = MapConfig(**{**cfg.__dict__, "steps": 0})
-    new = build_map(points, poses, once)
-    if state is not None:
-        voxels = cut(state.voxels.select("node").union(new.voxels.select("node")).distinct())
-        table = fit.initial_vertices(voxels, cfg.depth, cfg.separate_leaves)
-        fresh = table.join(state.vertices.select("ns", "vx", "vy", "vz"), ["ns", "vx", "vy", "vz"], "left_anti")
-        vertices = state.vertices.unionByName(fresh)
-        seen = state.frame_voxels.unionByName(new.frame_voxels)
-        keys = state.key_frames.unionByName(new.key_frames).distinct()
-    else:
-        voxels, vertices, seen, keys = new.voxels, new.vertices, new.frame_voxels, new.key_frames
-    vertices = fit.fit_vertices(
-        new.samples, voxels, vertices, cfg.res, cfg.depth, steps, cfg.rate, cfg.losses, separate_leaves=cfg.separate_leaves
-    )
-    return Map(voxels, vertices, cut(seen), cut(keys), new.samples)
-
-
 def field_of(m: Map, cfg: MapConfig) -> Callable[[DataFrame], DataFrame]:
     """The map as a function points -> points with node, sdf and gradient (V1)."""
     corners = cut(FD.corner_rows(m.voxels, m.vertices, cfg.res, cfg.depth, cfg.separate_leaves))

@@ -9,9 +9,11 @@ from voxfield.operators import keyframes as KF
 from voxfield.operators import rays as R
 from voxfield.operators import sampling as SA
 from voxfield.operators import voxelmap as V
-from voxfield.plans import views
+from voxfield.plans import incremental, views
+from voxfield.plans.mapping import MapConfig
 from voxfield.plans.registry import query
 from voxfield.plans.views import DEPTH, KEYED, PTS, PTS_K, RAYS, RES, TRAJ, code_sql, r6, r6_sql
+from voxfield.session import cut
 
 # -- frame voxel sets on a coarse grid so that frames overlap -------------------------------------
 
@@ -80,6 +82,24 @@ def _key_walk() -> str:
     SELECT scene, frame_id FROM k"""
 
 
+@query(
+    "incremental_map_l4",
+    f"""WITH w AS ({_key_walk()}), {FV}, n AS (SELECT scene, frame_id, count(*) AS seen FROM fv GROUP BY ALL), v AS (SELECT scene, count(DISTINCT node) AS voxels FROM fv GROUP BY scene)
+    SELECT scene, frame_id, seen, voxels FROM w JOIN n USING (scene, frame_id) JOIN v USING (scene)""",
+)
+def incremental_map(spark, sf):
+    """Frames arrive in three batches, the second one twice; the state ends with the key frames and voxels of the whole run."""
+    fv = cut(frame_voxels(spark, sf))
+    cfg = MapConfig(res=RES, depth=DEPTH, insert_ratio=0.7)
+    state, third = incremental.empty_state(spark), (fv.agg(F.max("frame_id")).first()[0] or 0) // 3 + 1
+    for batch in (0, 1, 1, 2):
+        rows = fv.where(F.floor(F.col("frame_id") / third) == batch)
+        state, _ = incremental.insert(state, None, None, cfg, seen=rows)
+    seen = state.key_voxels.groupBy("scene", "frame_id").agg(F.count("*").alias("seen"))
+    voxels = state.voxels.groupBy("scene").agg(F.count("*").alias("voxels"))
+    return state.keys.select("scene", "frame_id").join(seen, ["scene", "frame_id"]).join(voxels, "scene")
+
+
 @query("keyframe_iou_w2", _key_walk())
 def keyframe_iou(spark, sf):
     return KF.iou_key_frames(frame_voxels(spark, sf), 0.7)

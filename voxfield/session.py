@@ -46,8 +46,13 @@ def free(*cuts: DataFrame) -> None:
     for df in cuts:
         path = getattr(df, "_cut_path", None)
         if path:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own, in whatever store the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
