@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from voxfield.functions import geometry as G
 from voxfield.functions import shapes as S
-from voxfield.operators import asof, filters, frames
+from voxfield.operators import asof, filters, frames, transforms
 from voxfield.plans import views
 from voxfield.plans.registry import query
 from voxfield.plans.views import PTS, PTS_K, RAYS, SCANS, TRAJ, r6, r6_sql
@@ -345,6 +347,46 @@ def transform_lookup(spark, sf):
     return asof.lerp_transform(near).select("scan_id", r6(F.col("x")).alias("x"), r6(F.col("qz")).alias("qz"))
 
 
+#: Per user a body (clicks) on a cart (errors) in the world, and a fixed sensor on the body; sensors are asked for at views, seen from the world or from the
+#: next user's cart. All turns are about z, by 0.4 of a radian times the message number modulo 7.
+CHAIN = """m AS (SELECT user_id AS u, event_type AS k, epoch_us(ts) AS t, event_id AS id, value AS x, (event_id % 13)::DOUBLE AS y, 0.4::DOUBLE * (event_id % 7) AS a FROM events),
+    r AS (SELECT event_id AS id, user_id AS u, epoch_us(ts) AS t, CASE WHEN event_id % 2 = 1 THEN (user_id + 1) % 150 END AS o FROM events WHERE event_type = 'view'),
+    asked AS (SELECT id, t, 'click' AS k, u FROM r UNION ALL SELECT id, t, 'error', u FROM r UNION ALL SELECT id, t, 'other', o FROM r WHERE o IS NOT NULL),
+    w AS (SELECT q.id, q.k, q.t, p.t AS t0, p.x AS x0, p.y AS y0, p.a AS a0 FROM asked q ASOF JOIN m p ON p.u = q.u AND p.k = CASE WHEN q.k = 'click' THEN 'click' ELSE 'error' END AND q.t >= p.t),
+    v AS (SELECT q.id, q.k, n.t AS t1, n.x AS x1, n.y AS y1, n.a AS a1 FROM asked q ASOF JOIN m n ON n.u = q.u AND n.k = CASE WHEN q.k = 'click' THEN 'click' ELSE 'error' END AND q.t <= n.t),
+    e AS (SELECT id, k, x0 + f * (x1 - x0) AS x, y0 + f * (y1 - y0) AS y, a0 + f * (a1 - a0) AS a FROM (SELECT *, CASE WHEN t1 = t0 THEN 0.0::DOUBLE ELSE (t - t0)::DOUBLE / (t1 - t0)::DOUBLE END AS f FROM w JOIN v USING (id, k))),
+    s AS (SELECT r.id, r.o, c.x + cos(c.a) * (b.x + cos(b.a) * 0.5 + 0.0) - sin(c.a) * (b.y + sin(b.a) * 0.5) AS x, c.y + sin(c.a) * (b.x + cos(b.a) * 0.5) + cos(c.a) * (b.y + sin(b.a) * 0.5) AS y, c.a + b.a + 0.25 AS a
+      FROM r JOIN e b ON b.id = r.id AND b.k = 'click' JOIN e c ON c.id = r.id AND c.k = 'error')"""
+
+
+@query(
+    "transform_chain_j6",
+    f"""WITH {CHAIN}, z AS (SELECT s.id, CASE WHEN s.o IS NULL THEN s.x ELSE cos(e.a) * (s.x - e.x) + sin(e.a) * (s.y - e.y) END AS x,
+      CASE WHEN s.o IS NULL THEN s.y ELSE -sin(e.a) * (s.x - e.x) + cos(e.a) * (s.y - e.y) END AS y, CASE WHEN s.o IS NULL THEN s.a ELSE s.a - e.a END AS a, s.o, e.id AS found
+      FROM s LEFT JOIN e ON e.id = s.id AND e.k = 'other')
+    SELECT id, {r6_sql('x')} AS x, {r6_sql('y')} AS y, {r6_sql('sin(a)')} AS turn FROM z WHERE o IS NULL OR found IS NOT NULL""",
+)
+def transform_chain(spark, sf):
+    ev = views.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", views.micros("ts").alias("t"))
+    half = F.pmod("event_id", F.lit(7)) * 0.2
+    name = lambda kind, user: F.concat(F.lit(f"{kind}_"), user.cast("string"))
+    user, moves = F.col("user_id"), ev.where(F.col("event_type").isin("click", "error"))
+    body = F.col("event_type") == "click"
+    edges = moves.select(
+        F.when(body, name("cart", user)).otherwise(F.lit("world")).alias("parent"), F.when(body, name("body", user)).otherwise(name("cart", user)).alias("child"), "t",
+        F.col("value").alias("x"), F.pmod("event_id", F.lit(13)).cast("double").alias("y"), F.lit(0.0).alias("z"),
+        F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"),
+    )
+    fixed = moves.select(user).distinct().select(
+        name("body", user).alias("parent"), name("sensor", user).alias("child"), F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"),
+        F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(math.sin(0.125)).alias("qz"), F.lit(math.cos(0.125)).alias("qw"),
+    )
+    target = F.when(F.pmod("event_id", F.lit(2)) == 1, name("cart", F.pmod(user + 1, F.lit(150)))).otherwise(F.lit("world"))
+    asked = ev.where("event_type = 'view'").select(F.col("event_id").alias("id"), name("sensor", user).alias("source"), target.alias("target"), "t")
+    out = transforms.chain_transforms(asked, edges, fixed)
+    return out.select("id", *[r6(F.get("pose", i)).alias(n) for n, i in (("x", 3), ("y", 7), ("turn", 4))])
+
+
 # -- bounds, trajectories ------------------------------------------------------------------------
 
 
