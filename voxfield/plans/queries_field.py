@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxfield.operators import field as FD
 from voxfield.operators import grids, surface
 from voxfield.operators import voxelmap as V
-from voxfield.plans import fit, views
+from voxfield.plans import fit, joint, views
 from voxfield.plans.queries_selection import SAMPLES, samples
 from voxfield.plans.queries_voxels import MAP, NODE_KEYS, _map
 from voxfield.plans.registry import query
@@ -333,3 +333,13 @@ def fit_residual(spark, sf):
     rows = ball_samples(spark, sf).select((F.col("label") + 0.3).alias("sdf_prior"), F.array(F.col("x") / 50.0, F.col("y") / 50.0).alias("feat"), "label")
     _, losses = fit.fit_residual(rows, fit.random_layers(3, (8, 8)), steps=3, rate=0.05)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "step int, loss double")
+
+
+@query("fit_joint_l3")
+def fit_joint(spark, sf):
+    """Loss of the prediction over three steps of the joint fit of prior, features and network."""
+    nodes, losses = _map(spark, sf), []
+    start = joint.initial_features(fit.initial_vertices(nodes, DEPTH), 4)
+    layers = fit.random_layers(1 + 2 * 4, (16, 16))
+    joint.fit_joint(ball_samples(spark, sf), nodes, start, layers, RES, DEPTH, steps=3, rate=0.05, levels=2, on_step=lambda i, x: losses.append((i, x)))
+    return spark.createDataFrame(losses, "step int, loss double")
