@@ -7,12 +7,12 @@ listed under these, in the band of its size; bands are wider than the largest ra
 itself and its two neighbours. N-grams that one node lists are dropped before rows are made. The order comes from a table of counts by hash of
 fixed size (``BUCKETS``), so what a third of all texts hold comes last and is listed by texts that hold little else; any order gives the same links.
 
-*Signatures.* A set's bitmap, four to eight bits per n-gram, holds in each bit the parity of the n-grams that fall on it. Bits in which two bitmaps
+*Signatures.* A set's bitmap, one or two bits per n-gram, holds in each bit the parity of the n-grams that fall on it. Bits in which two bitmaps
 differ number at most the symmetric difference, so (|a| + |b| - differing) / 2 bounds the overlap from above; a larger bitmap is folded to the
 width of a smaller one. Pairs that cannot reach the similarity end there, the others are compared by intersecting their sorted arrays.
 
 *Rounds.* First one centre per tile is compared with the members, which joins most near copies at little cost. Then whole tiles are compared
-by bitmap, but only across the components found so far. Two rounds take a spanning forest of a tile's candidate pairs, those with the closest bitmaps
+by bitmap, but only across the components found so far. One round takes a spanning forest of a tile's candidate pairs, those with the closest bitmaps
 first; the last takes every candidate pair that is left, so that each pair of a tile is excluded, verified or already connected. Tiles of more than
 ``TILE`` members are dealt out, and every two of their parts are compared in a group of their own.
 """
@@ -38,7 +38,7 @@ WIDTH, PERCENT = 4, 85
 BUCKETS, RANGES = 1 << 20, 16
 #: Listed n-grams that a block holds on average, and below which no further block is made for more parallel work.
 BLOCK, SMALL = 1 << 20, 1 << 15
-FORESTS = 2
+FORESTS = 1
 #: Members of one part of a tile, and rows of the tiles that are compared in one group.
 TILE, GROUP = 1 << 12, 1 << 14
 #: Bits of the sieve that keeps most texts that no pair asks for out of the shuffle.
@@ -60,8 +60,8 @@ def needed(total, percent: int):
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parities of the hashes on 64 bits or the least power of two that is not below four times their number."""
-    width = max(64, 1 << (4 * len(h) - 1).bit_length())
+    """Parities of the hashes on 64 bits or the least power of two that is not below their number."""
+    width = max(64, 1 << (len(h) - 1).bit_length())
     on = B.mix(h) & B.U(width - 1)
     return np.packbits((np.bincount(on.astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -255,9 +255,11 @@ def _arrays(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of the n-grams that still hold more than one component."""
-    open_grams = members.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("gram")
-    return members.join(open_grams, "gram")
+    """Members of the tiles that, together with their two neighbours, still hold more than one component."""
+    own = members.groupBy("gram", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    near = own.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    open_tiles = near.groupBy("gram", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    return members.join(open_tiles.select("gram", "band"), ["gram", "band"], "left_semi")
 
 
 def _around_centres(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -337,7 +339,9 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     sets = session.cut(_listings(docs.select("text", "r0", "r1"), place, width, percent).join(nodes.select("r0", "r1", "node"), ["r0", "r1"]).select("node", "size", "sign", "grams"))
     step = math.log(1 / (0.99 * percent / 100))
     band = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
-    members = session.cut(_shared(sets.select("node", "size", "grams")).select("gram", band.alias("band"), "node", F.col("node").alias("comp"), "size"))
+    listed_by = session.cut(_shared(sets.select("node", "size", "grams")).select("gram", band.alias("band"), "node", F.col("node").alias("comp"), "size"))
+    members = session.cut(_mixed(listed_by))
+    session.free(listed_by)
     links = named = None
     for k in range(FORESTS + 2):
         if not members.take(1):
