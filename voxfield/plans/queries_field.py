@@ -49,12 +49,12 @@ def slice_grid(spark, sf):
 
 @query(
     "grid_dilate_g4",
-    f"""WITH {PTS_K}, m AS (SELECT DISTINCT floor(x)::INTEGER AS i, floor(y)::INTEGER AS j, floor(z)::INTEGER AS k FROM pts_k WHERE x > 25 AND y > 30)
+    f"""WITH {PTS_K}, m AS (SELECT DISTINCT floor(x)::INTEGER AS i, floor(y)::INTEGER AS j, floor(z)::INTEGER AS k FROM pts_k)
     SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM m, (SELECT a::INTEGER AS a FROM range(-2, 3) r(a)), (SELECT b::INTEGER AS b FROM range(-2, 3) r(b)), (SELECT c::INTEGER AS c FROM range(-2, 3) r(c))
     WHERE i + a BETWEEN 0 AND 50 AND j + b BETWEEN 0 AND 50 AND k + c BETWEEN 0 AND 10""",
 )
 def grid_dilate(spark, sf):
-    p = views.pts_k(spark, sf).filter("x > 25 AND y > 30")
+    p = views.pts_k(spark, sf)
     mask = p.select(*[F.floor(a).cast("int").alias(n) for a, n in zip("xyz", "ijk")])
     return grids.dilate(mask, (51, 51, 11), 2)
 
