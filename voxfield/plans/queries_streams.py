@@ -132,7 +132,7 @@ def trajectory_file(spark, sf):
     c = views.table(spark, sf, "customer")
     pose = F.array(*[F.lit(float(i % 5 == 0)) for i in range(3)], F.col("c_acctbal"), *[F.lit(0.0)] * 7, F.pmod("c_custkey", F.lit(7)).cast("double"), *[F.lit(0.0)] * 3, F.lit(1.0))
     frames = c.select(F.col("c_custkey").alias("frame_id"), pose.alias("pose"))
-    writers.write_trajectory(frames.coalesce(1), f"{home}/traj")
+    writers.write_trajectory(frames, f"{home}/traj")
     # Number lines over all part files in their order.
     lines = readers.read_trajectory(spark, f"{home}/traj")
     files = lines.groupBy("path").agg(F.count("*").alias("n"))
