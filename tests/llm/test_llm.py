@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from voxfield.llm import bpe, catalog, components, jaccard, mixing, mtree, orderminhash, pitmanyor, quality, simhash, substring, toxicity, urls
+from voxfield.llm import bpe, catalog, components, mixing, mtree, orderminhash, overlap, pitmanyor, quality, simhash, substring, toxicity, urls
 from voxfield.llm.q_urls import RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,8 +197,8 @@ def test_centres_reach_every_pair_of_a_key(spark):
     docs = spark.createDataFrame([(i, " ".join(word[4 * i : 4 * i + 100])) for i in range(60)], "doc_id long, text string")
     texts = [r.text for r in docs.orderBy("doc_id").collect()]
     assert len(set(brute_classes(texts))) == 1 and len(set(brute_classes(texts[::4]))) == 15
-    assert jaccard.first_rows(docs).count() == 1
-    assert jaccard.first_rows(docs.where("doc_id % 4 = 0")).count() == 15
+    assert overlap.first_rows(docs, 5, 80).count() == 1
+    assert overlap.first_rows(docs.where("doc_id % 4 = 0"), 5, 80).count() == 15
 
 
 def test_stages_keep_rows_with_null_and_shared_ids(spark, sf):

@@ -319,17 +319,8 @@ def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): size of the n-gram set of every row of ``docs`` and the smallest doc_id that links reach.
-
-    Texts are lower-cased (A-Z), words are runs of other than ASCII white space; with fewer than ``width`` words the whole sequence is one
-    n-gram. A null text or one without words has an empty set and links with nothing: its component_id is its own doc_id. Other columns are
-    not read. One row per input row, equal rows included. Rows that share a doc_id are compared as texts of their own. Rows
-    without one take part; component_id is null where a component has no other rows. An empty table gives an empty result. N-grams are compared by
-    64-bit hashes, whole sets of equal texts by 128 bits.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.select("doc_id", "text", *[c.alias(f"r{i}") for i, c in enumerate(row_key(docs))])
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, r0, r1, n, s0, s1) of (doc_id, text, r0, r1), and the component (s0, s1, least, component) of each non-empty set."""
     signed = session.cut(_signed(docs, width))
     rows = signed.where("kind = 0").drop("kind", "body")
     place = _order(signed.where("kind = 1").select("n", "body"))
@@ -358,11 +349,41 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
             members, old = session.cut(_mixed(left.select(*members.columns))), members
             session.free(old)
     session.free(members, sets, *([links] if links is not None else []))
-    if named is not None:
-        nodes = nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-        nodes = nodes.join(least, "component").select("s0", "s1", "component_id")
-    else:
-        nodes = nodes.select("s0", "s1", F.col("least").alias("component_id"))
+    if named is None:
+        return rows, nodes.select("s0", "s1", "least", F.col("node").alias("component"))
+    nodes = nodes.join(named, "node", "left")
+    return rows, nodes.select("s0", "s1", "least", F.coalesce("component", "node").alias("component"))
+
+
+def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id): size of the n-gram set of every row of ``docs`` and the smallest doc_id that links reach.
+
+    Texts are lower-cased (A-Z), words are runs of other than ASCII white space; with fewer than ``width`` words the whole sequence is one
+    n-gram. A null text or one without words has an empty set and links with nothing: its component_id is its own doc_id. Other columns are
+    not read. One row per input row, equal rows included. Rows that share a doc_id are compared as texts of their own. Rows
+    without one take part; component_id is null where a component has no other rows. An empty table gives an empty result. N-grams are compared by
+    64-bit hashes, whole sets of equal texts by 128 bits.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", "text", *[c.alias(f"r{i}") for i, c in enumerate(row_key(docs))])
+    rows, nodes = _classes(docs, width, percent)
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    nodes = nodes.join(least, "component").select("s0", "s1", "component_id")
     full = rows.where("n > 0").join(nodes, ["s0", "s1"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def first_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row of each class, with all columns of ``docs``: the smallest doc_id, then the smallest hash of the row.
+
+    ``docs`` needs ``doc_id`` and ``text``. A missing doc_id is larger than any other. Texts without words, or null, are one class. Rows are told
+    apart as a whole, so ids may be null or shared; of equal rows one stays. An empty table gives an empty result.
+    """
+    named, of = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), lambda c: F.col(f"c{docs.columns.index(c)}")
+    keyed = named.select("*", *[c.alias(f"r{i}") for i, c in enumerate(row_key(named))])
+    rows, nodes = _classes(keyed.select(of("doc_id").cast("bigint").alias("doc_id"), of("text").cast("string").alias("text"), "r0", "r1"), width, percent)
+    # Sets without members are one class of their own; node numbers are not negative.
+    rows = rows.join(nodes.drop("least"), ["s0", "s1"], "left").withColumn("component", F.coalesce("component", F.lit(-1)))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r0", "r1")).alias("m"))
+    kept = keyed.join(first.select("m.r0", "m.r1"), ["r0", "r1"]).dropDuplicates(["r0", "r1"])
+    return kept.select(*[kept[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
