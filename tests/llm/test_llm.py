@@ -191,6 +191,20 @@ def test_near_dedup_stage_against_brute_force(spark, sf):
     assert corpus_pipeline.keep_first(spark, empty(docs), sf).count() == 0
 
 
+def test_fingerprints_propose_near_copies(spark):
+    words = [f"w{i * 7919 % 1009}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:150] + ["other"] + words[151:]), " ".join(reversed(words)), " ".join(words).upper(), "", None]
+    rows = [(i, t, i, 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, r0 long, r1 long")
+    nodes = spark.createDataFrame([(i, 0, i) for i in (0, 1, 2, 3)], "r0 long, r1 long, node long")
+    near = [simhash.fingerprint(t.encode(), 5) for t in texts[:4]]
+    want = {(a, b) for a in range(4) for b in range(a + 1, 4) if (near[a] ^ near[b]).bit_count() <= simhash.RADIUS}
+    got = {tuple(r) for r in overlap._by_fingerprint(docs, nodes, 5).collect()}
+    # Pairs are a spanning forest of the links, and one fingerprint's nodes are a star.
+    assert (0, 3) in got and got <= want | {(0, 3)} and len({x for p in got for x in p}) == len({x for p in want for x in p})
+    assert not overlap._by_fingerprint(docs.limit(0), nodes, 5).collect()
+
+
 def test_centres_reach_every_pair_of_a_key(spark):
     """Chains in which only neighbours are alike: a first centre alone does not connect them."""
     word = [f"w{x}" for x in range(400)]

@@ -11,7 +11,8 @@ fixed size (``BUCKETS``), so what a third of all texts hold comes last and is li
 differ number at most the symmetric difference, so (|a| + |b| - differing) / 2 bounds the overlap from above; a larger bitmap is folded to the
 width of a smaller one. Pairs that cannot reach the similarity end there, the others are compared by intersecting their sorted arrays.
 
-*Rounds.* First one centre per tile is compared with the members, which joins most near copies at little cost. Then whole tiles are compared
+*Rounds.* First one centre per tile is compared with the members, which joins most near copies at little cost (``first_rows`` adds the pairs that SimHash
+fingerprints propose). Then whole tiles are compared
 by bitmap, but only across the components found so far. One round takes a spanning forest of a tile's candidate pairs, those with the closest bitmaps
 first; the last takes every candidate pair that is left, so that each pair of a tile is excluded, verified or already connected. Tiles of more than
 ``TILE`` members are dealt out, and every two of their parts are compared in a group of their own.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from voxfield import session
 from voxfield.llm import blocks as B
+from voxfield.llm import simhash
 from voxfield.llm.components import components
 from voxfield.llm.jaccard import _slices, row_key, shingle_sets
 from voxfield.llm.substring import MESSAGE, _bits, _distinct, _messages, _replies, _span
@@ -280,6 +282,27 @@ def _around_centres(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return met.join(b, "b").join(a, "a").mapInArrow(run, "a bigint, b bigint")
 
 
+def _by_fingerprint(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(a, b): nodes with equal SimHash fingerprints, as stars around the smallest node, and one pair for each link of two fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            found = np.array([simhash.fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("r0"), batch.column("r1"), pa.array(found)], names=["r0", "r1", "fp"])
+            B.give_back()
+
+    found = docs.select("text", "r0", "r1").mapInArrow(run, "r0 bigint, r1 bigint, fp bigint")
+    fps = session.cut(found.join(nodes.select("r0", "r1", "node"), ["r0", "r1"]).select("node", "fp").dropDuplicates(["node"]))
+    first = session.cut(fps.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = fps.join(first, "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in "ab")
+    linked = simhash.links(first.select("fp")).join(b, "b").join(a, "a")
+    out = session.cut(equal.union(linked.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node"))))
+    session.free(fps, first)
+    return out
+
+
 def _across(members: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Distinct (a, b) of candidate pairs between components inside the tiles of every n-gram."""
 
@@ -319,8 +342,11 @@ def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, r0, r1, n, s0, s1) of (doc_id, text, r0, r1), and the component (s0, s1, least, component) of each non-empty set."""
+def _classes(docs: DataFrame, width: int, percent: int, fingerprints: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, r0, r1, n, s0, s1) of (doc_id, text, r0, r1), and the component (s0, s1, least, component) of each non-empty set.
+
+    With ``fingerprints``, the first round also verifies the pairs of ``_by_fingerprint``. It changes no class: other rounds leave no pair out.
+    """
     signed = session.cut(_signed(docs, width))
     rows = signed.where("kind = 0").drop("kind", "body")
     place = _order(signed.where("kind = 1").select("n", "body"))
@@ -337,7 +363,10 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     for k in range(FORESTS + 2):
         if not members.take(1):
             break
-        pairs = session.cut(_across(members, sets, percent, k <= FORESTS) if k else _around_centres(members, sets, percent))
+        pairs = _across(members, sets, percent, k <= FORESTS) if k else _around_centres(members, sets, percent)
+        proposed = _by_fingerprint(docs, nodes, width) if fingerprints and not k else None
+        pairs = session.cut(pairs if proposed is None else pairs.union(proposed).distinct())
+        session.free(*([proposed] if proposed is not None else []))
         wanted = session.cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("r0", "r1", "node"))
         arrays = session.cut(_arrays(docs.select("text", "r0", "r1"), wanted, width))
         new = _links(pairs, arrays, percent)
@@ -377,11 +406,12 @@ def first_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row of each class, with all columns of ``docs``: the smallest doc_id, then the smallest hash of the row.
 
     ``docs`` needs ``doc_id`` and ``text``. A missing doc_id is larger than any other. Texts without words, or null, are one class. Rows are told
-    apart as a whole, so ids may be null or shared; of equal rows one stays. An empty table gives an empty result.
+    apart as a whole, so ids may be null or shared; of equal rows one stays. An empty table gives an empty result. Pairs within the radius of the
+    SimHash operator, on fingerprints of the same n-grams, are verified first; the tiles then find what is similar but farther apart.
     """
     named, of = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), lambda c: F.col(f"c{docs.columns.index(c)}")
     keyed = named.select("*", *[c.alias(f"r{i}") for i, c in enumerate(row_key(named))])
-    rows, nodes = _classes(keyed.select(of("doc_id").cast("bigint").alias("doc_id"), of("text").cast("string").alias("text"), "r0", "r1"), width, percent)
+    rows, nodes = _classes(keyed.select(of("doc_id").cast("bigint").alias("doc_id"), of("text").cast("string").alias("text"), "r0", "r1"), width, percent, fingerprints=True)
     # Sets without members are one class of their own; node numbers are not negative.
     rows = rows.join(nodes.drop("least"), ["s0", "s1"], "left").withColumn("component", F.coalesce("component", F.lit(-1)))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r0", "r1")).alias("m"))
