@@ -160,3 +160,14 @@ def test_raw_messages_with_a_broken_pose_are_dropped(spark):
     assert [r.frame_id for r in ST.scan_points(df, "cloud").collect()] == [0, 0]
     with pytest.raises(ValueError, match="unknown scan kind"):
         ST.scan_points(df, "radar")
+
+
+def test_arrivals_are_handed_on_piece_by_piece(spark, tmp_path):
+    from voxfield.plans.queries_streams import ARRIVALS, _arrive
+
+    rows = spark.createDataFrame([(k, 10 * i) for i in range(200) for k in (1, 2)], "key long, t long")
+    sink = ST.NumberSink(f"{tmp_path}/seq", "key", delay=15)
+    _arrive(spark, rows, "t", sink, str(tmp_path))
+    assert sink._read(spark, "out").select("batch").distinct().count() == ARRIVALS + 1
+    assert sink._read(spark, "late").count() == 0
+    assert sorted((r.key, r.t, r.seq) for r in sink.result(spark).collect()) == sorted((k, 10 * i, i) for i in range(200) for k in (1, 2))

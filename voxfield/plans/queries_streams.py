@@ -50,19 +50,35 @@ def stream_voxels(spark, sf):
     return sink.voxels(spark)
 
 
+#: Pieces in which a table's rows arrive at a stream.
+ARRIVALS = 4
+
+
+def _arrive(spark, rows, t, sink, home):
+    """All ``rows`` reach the sink in pieces by their bigint stamp ``t``, the earlier piece first; the query goes on from its checkpoint after each.
+
+    Rows without a stamp come with the first piece.
+    """
+    cuts = rows.approxQuantile(t, [i / ARRIVALS for i in range(1, ARRIVALS)], 0.01)
+    piece = sum((F.coalesce(F.col(t) > F.lit(int(c)), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    rows.withColumn("piece", piece).write.partitionBy("piece").parquet(f"{home}/pieces")
+    pieces = spark.read.schema(rows.withColumn("piece", piece).schema).parquet(f"{home}/pieces")
+    for i in range(ARRIVALS):
+        pieces.filter(F.col("piece") == i).drop("piece").write.mode("append").parquet(f"{home}/arrived")
+        ST.start_batches(ST.read_stream(spark, f"{home}/arrived", rows.schema, max_files=1 << 20), sink, f"{home}/checkpoint").awaitTermination()
+    sink.finish(spark)
+
+
 @query("stream_key_frames_x4", _key_walk())
 def stream_key_frames(spark, sf):
     home = _folder(spark)
-    sets = frame_voxels(spark, sf)
-    sets.write.parquet(f"{home}/frames")
-    sink = ST.KeyFrameSink(f"{home}/keys", 0.7)
-    ST.start_batches(ST.read_stream(spark, f"{home}/frames", sets.schema), sink, f"{home}/checkpoint").awaitTermination()
-    sink.finish(spark)
+    sink = ST.KeyFrameSink(f"{home}/keys", 0.7, delay=1)
+    _arrive(spark, frame_voxels(spark, sf), "frame_id", sink, home)
     return sink.result(spark)
 
 
 def _messages(spark, sf):
-    ev = _stream(spark, sf, "events").filter(F.col("event_type").isin("view", "click"))
+    ev = views.table(spark, sf, "events").filter(F.col("event_type").isin("view", "click"))
     side = F.when(F.col("event_type") == "view", "scan").otherwise("pose")
     return ev.select(F.col("user_id").alias("key"), side.alias("side"), F.col("event_id").alias("id"), views.micros("ts").alias("t"))
 
@@ -83,9 +99,8 @@ SYNC = f"""WITH RECURSIVE {SCANS}, m AS (SELECT *, row_number() OVER (PARTITION
 @query("stream_sync_x2", SYNC)
 def stream_sync(spark, sf):
     home = _folder(spark)
-    sink = ST.PairSink(f"{home}/pairs", 6 * HOUR)
-    ST.start_batches(_messages(spark, sf), sink, f"{home}/checkpoint").awaitTermination()
-    sink.finish(spark)
+    sink = ST.PairSink(f"{home}/pairs", 6 * HOUR, delay=HOUR)
+    _arrive(spark, _messages(spark, sf), "t", sink, home)
     return sink.result(spark)
 
 
@@ -97,9 +112,8 @@ def stream_sync(spark, sf):
 )
 def stream_nearest(spark, sf):
     home = _folder(spark)
-    sink = ST.NearestSink(f"{home}/near", 8 * HOUR)
-    ST.start_batches(_messages(spark, sf), sink, f"{home}/checkpoint").awaitTermination()
-    sink.finish(spark)
+    sink = ST.NearestSink(f"{home}/near", 8 * HOUR, delay=HOUR)
+    _arrive(spark, _messages(spark, sf), "t", sink, home)
     return sink.result(spark).select("key", "scan_id", "pose_id", "gap")
 
 
@@ -109,9 +123,8 @@ def stream_nearest(spark, sf):
 )
 def stream_numbers(spark, sf):
     home = _folder(spark)
-    sink = ST.NumberSink(f"{home}/seq", "key")
-    ST.start_batches(_messages(spark, sf).filter(F.col("side") == "scan").select("key", "t"), sink, f"{home}/checkpoint").awaitTermination()
-    sink.finish(spark)
+    sink = ST.NumberSink(f"{home}/seq", "key", delay=HOUR)
+    _arrive(spark, _messages(spark, sf).filter(F.col("side") == "scan").select("key", "t"), "t", sink, home)
     return sink.result(spark)
 
 
