@@ -464,6 +464,24 @@ def test_m_tree_against_brute_force(spark):
     assert mtree.top_k(vectors.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_m_tree_scores_beyond_doubles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [int(x) for x in (1 << 30) + rng.integers(-40, 40, 3)]) for i in range(300)]
+    rows += [(300 + i, [x + (i == 1) for x in rows[7][1]]) for i in range(3)] + [(400, [2**55 + 1, -3, 5]), (401, [-(2**55), 1]), (402, []), (500, [1 << 62, 0, 0]), (501, [-(1 << 62), 0, 0])] + [(510 + i, [-(1 << (45 + i)), 0, 0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = set()
+    for i, q in rows:
+        if i % 5 == 0:
+            scored = sorted((-clip(sum(a * b for a, b in zip(q, v))), j) for j, v in rows if j != i)
+            want |= {(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:5], 1)}
+    for routers in (1, 7):
+        assert {tuple(r) for r in mtree.top_k(df, F.col("vec_id") % 5 == 0, 5, routers).collect()} == want
+        small = df.where("vec_id < 300")
+        kept = {r.query_id for r in mtree.top_k(small, F.col("vec_id") % 5 == 0, 5, routers).collect()}
+        assert len(kept) == 60
+
+
 def test_registered_queries_match_their_sql(spark, sf):
     from check import TABLES, rows_of
 

@@ -8,7 +8,7 @@ routing object, every page the least and largest of these (its covering ring).
 A query first goes to its nearest routing object, which gives a k-th best distance; it then visits the subtrees that the triangle
 inequality does not exclude, in the order of their lower bounds, and inside them only the pages and entries whose stored
 parent distance is within the current k-th distance of its own. Bounds are slack by a rounding margin; scores are whole numbers, so
-results are exact.
+results are exact. Where a score may not be exact in a double, what the bounds let through is scored anew in Python's whole numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ CELL, PAGE = 1024, 128
 #: Rows of one subtree part and queries of one block that meet in a task.
 SUBTREE, QUERIES = 1 << 14, 1 << 12
 SLACK = 1e-7
+#: Squared lengths up to which every sum of products is exact in doubles.
+EXACT = 2.0**52
 
 
 def whole_vectors(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -62,13 +64,26 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best(query: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best per query: highest score, then smallest id."""
-    order = np.lexsort((vec, -score, query))
+    order = np.lexsort((vec, ~score, query))
     q = query[order]
     heads = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
     rank = np.arange(len(q)) - np.repeat(heads, np.diff(np.r_[heads, len(q)]))
     return order[rank < k]
 
 
+def _slack(width: int, square: float) -> float:
+    """Rounding margin of distances, as a part of the lengths: wider where squared lengths are rounded themselves."""
+    return SLACK if square <= EXACT else SLACK * float(np.sqrt(width + 1))
+
+
+def _whole(column, width: int) -> np.ndarray:
+    """Rows of a list column as Python's whole numbers; shorter vectors are filled with zeros."""
+    out = np.zeros((len(column), width), object)
+    for i, row in enumerate(column.to_pylist()):
+        out[i, : len(row)] = row
+    return out
+
+
 def _search(pages: pa.Table, asks: pa.Table, routers: np.ndarray, width: int, square: float, k: int) -> pa.Table:
     """The k best entries of one subtree part for each query of a block, as far as they beat what the query has."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -78,13 +93,14 @@ def _search(pages: pa.Table, asks: pa.Table, routers: np.ndarray, width: int, sq
     parent = pages.column("parent").to_numpy()
     order = np.argsort(parent, kind="stable")
     entries, vec, parent = entries[order], vec[order], parent[order]
+    wide = (_whole(pages.column("v"), width)[order], _whole(asks.column("v"), width)) if square > EXACT else None
     queries, ids = _matrix(asks.column("v"), width), asks.column("vec_id").to_numpy()
     lifted = np.hstack([queries, np.zeros((len(ids), 1))])
     own = _distances(lifted, routers[[pages.column("cell")[0].as_py()]])[:, 0]
     length = (queries * queries).sum(1)
     # Distance of the k-th best so far, infinite if there are fewer than k.
     reach = asks.column("reach").to_numpy().copy()
-    margin = SLACK * (1.0 + np.sqrt(square + length))
+    margin = _slack(width, square) * (1.0 + np.sqrt(square + length))
     found: list[tuple] = []
     held = np.zeros(len(ids), np.int64)
     # Pages nearest to where the queries are come first.
@@ -107,7 +123,12 @@ def _search(pages: pa.Table, asks: pa.Table, routers: np.ndarray, width: int, sq
         q, e = np.nonzero(hit)
         if not len(q):
             continue
-        found.append((on[q], score[q, e].astype(np.int64), vec[a + e]))
+        if wide is None:
+            exact = score[q, e].astype(np.int64)
+        else:
+            # Scores beyond a bigint count as the nearest one.
+            exact = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in (wide[1][on[q]] * wide[0][a + e]).sum(1)], np.int64)
+        found.append((on[q], exact, vec[a + e]))
         np.add.at(held, on[q], 1)
         if len(found) > 8 or p == starts[-1]:
             found = [_tighten(found, held, reach, square, length, k)]
@@ -124,7 +145,8 @@ def _tighten(found, held, reach, square, length, k):
     q, score, v = q[at], score[at], v[at]
     held[:] = np.bincount(q, minlength=len(held))
     last = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
-    full = last[held[q[last]] >= k]
+    # A score at the least bigint may stand for a smaller one and bounds nothing.
+    full = last[(held[q[last]] >= k) & (score[last] > -(1 << 63))]
     reach[q[full]] = np.minimum(reach[q[full]], np.sqrt(np.maximum(square + length[q[full]] - 2.0 * score[full], 0.0)))
     return q, score, v
 
@@ -133,12 +155,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, routers: int | None = None)
     """(query_id, rank, vec_id, score): the k stored vectors with the highest inner product for every query.
 
     ``vectors`` holds (vec_id bigint, v array<bigint>) with distinct ids (``whole_vectors``); ``is_query`` is a condition on it. A query's own row is no
-    candidate. Ties go to the smaller vec_id; with fewer than k candidates all come. Shorter vectors count as filled with zeros. Inner
-    products must stay below 2^53. An empty table, or one without queries, gives an empty result.
+    candidate. Ties go to the smaller vec_id; with fewer than k candidates all come. Shorter vectors count as filled with zeros. Scores are exact
+    whatever their size; those beyond a bigint count as the nearest bigint. An empty table, or one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
     vectors = session.cut(vectors)
-    # Every entry is a whole number, so squares and sums are exact.
     squares = vectors.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("s"), F.size("v").alias("w"))
     n, square, width, asked = [*squares.agg(F.count("*"), F.max("s"), F.max("w")).first(), vectors.where(is_query).count()]
     result = "query_id bigint, vec_id bigint, score bigint"
@@ -180,7 +201,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, routers: int | None = None)
                     reach = np.full(len(x), np.inf)
                 else:
                     reach = batch.column("reach").to_numpy()
-                    on = bound <= (reach + SLACK * (1.0 + np.sqrt(square + (x * x).sum(1))))[:, None]
+                    on = bound <= (reach + _slack(width, square) * (1.0 + np.sqrt(square + (x * x).sum(1))))[:, None]
                 q, c = np.nonzero(on)
                 times = np.ones(len(c), np.int64) if first else count[c]
                 q, c = np.repeat(q, times), np.repeat(c, times)
@@ -205,7 +226,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, routers: int | None = None)
     first = stored.groupBy(*key).cogroup(near.groupBy(*key)).applyInArrow(search, result)
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(float(square)) + length - 2.0 * F.col("kth"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
+    reach = F.when((F.col("n") >= k) & (F.col("kth") > -(1 << 63)), F.sqrt(F.greatest(F.lit(float(square)) + length - 2.0 * F.col("kth"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
     queries = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", reach.alias("reach"))
     rest = queries.mapInArrow(visits(False), asks).select("*", block_of)
     found = stored.groupBy(*key).cogroup(rest.groupBy(*key)).applyInArrow(search, result)
