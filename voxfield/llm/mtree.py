@@ -5,8 +5,9 @@ stored vector to a query (whose extra coordinate is 0) falls as the inner produc
 objects (a bounded sample), under each of them leaf pages that hold a ring of distances to it: every entry stores its distance to the
 routing object, every page the least and largest of these (its covering ring).
 
-A query first goes to its nearest routing object, which gives a k-th best distance; it then visits the subtrees that the triangle
-inequality does not exclude, in the order of their lower bounds, and inside them only the pages and entries whose stored
+The directory is one flat level, not a tree of nested nodes. A query first visits a part of its nearest routing object's entries, which gives a k-th
+best distance; in a second round it visits all subtrees that the triangle inequality does not exclude then, each in a task that does not see what the
+others find, and inside them, nearest pages first, only the pages and entries whose stored
 parent distance is within the current k-th distance of its own. Bounds are slack by a rounding margin; scores are whole numbers, so
 results are exact. Where a score may not be exact in a double, what the bounds let through is scored anew in Python's whole numbers.
 """
