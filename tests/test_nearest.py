@@ -60,6 +60,12 @@ def cube(spark, low=0.0, high=1.0):
     return mesh.triangle_corners(triangles, vertices)
 
 
+def test_corner_lookup_sends_no_table_through_the_driver(spark):
+    # Rows multiply after the scan, which the planner's size of them does not show.
+    plan = cube(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_cube_signed_distance_and_area(spark):
     corners = cube(spark)
     assert abs(mesh.with_area(corners).agg({"area": "sum"}).first()[0] - 6.0) < 1e-12

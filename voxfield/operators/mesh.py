@@ -21,12 +21,13 @@ CORNERS = [c for t in TRIANGLE for c in t]
 def triangle_corners(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     """Corner coordinates ax..cz of every triangle, by one join on the three exploded vertex ids.
 
-    Tables of several files, with a ``path`` in both, meet file by file and keep it.
+    Tables of several files, with a ``path`` in both, meet file by file and keep it. The sides are shuffled:
+    the planner takes a table of exploded rows for no larger than its source, and would send it whole through the driver.
     """
     file = ["path"] if "path" in triangles.columns and "path" in vertices.columns else []
     ids = F.array(*[F.struct(F.lit(c).alias("corner"), F.col(c).alias("vid")) for c in "abc"])
     long = triangles.select(*file, "fid", "a", "b", "c", F.explode(ids).alias("_v")).select(*file, "fid", "a", "b", "c", "_v.*")
-    placed = long.join(vertices.select(*file, "vid", "x", "y", "z"), [*file, "vid"])
+    placed = long.join(vertices.select(*file, "vid", "x", "y", "z").hint("merge"), [*file, "vid"])
     picks = [F.max(F.when(F.col("corner") == c, F.col(x))).alias(f"{c}{x}") for c in "abc" for x in "xyz"]
     out = placed.groupBy(*file, "fid", "a", "b", "c").agg(F.count("*").alias("_n"), *picks)
     return out.filter(F.col("_n") == 3).drop("_n")
