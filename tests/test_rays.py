@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxfield.functions import keys as K
 from voxfield.operators import rays as R
 from voxfield.operators import voxelmap as V
+from voxfield.session import cut
 
 
 def table(spark, n=120, seed=13):
@@ -128,3 +129,19 @@ def test_labels_keep_rays_of_many_samples_apart(spark):
     df = spark.createDataFrame(rows, "ray_id bigint, s_idx int, kind string, behind boolean, x double, y double, z double")
     got = {(r.ray_id, r.s_idx): r.label for r in R.sdf_labels(df).collect()}
     assert len(got) == 6 and got[2, 0] == 0.5 and got[1, 4095] == 4095.0 and abs(got[1, 4096] - 4096.0) < 0.02
+
+
+def test_ray_walk_of_a_table_in_one_file_uses_all_cores(spark, tmp_path, monkeypatch):
+    rays = pd.DataFrame({"ray_id": np.arange(64), **{f"o{a}": 0.1 for a in "xyz"}, **{f"d{a}": 0.5 + np.arange(64) / 100 for a in "xyz"}})
+    spark.createDataFrame(rays).coalesce(1).write.parquet(str(tmp_path / "rays"))
+    parts = []
+    monkeypatch.setattr(R, "cut", lambda df: (parts.append(df.rdd.getNumPartitions()), cut(df))[1])
+    leaf = spark.createDataFrame([(k,) for k in (512, 519, 575)], "node bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = R.ray_nodes(spark.read.parquet(str(tmp_path / "rays")), V.build_nodes(leaf, 3), 0.5, 3, bidirectional=True)
+        assert hits.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The first table holds the boxes; the others are steps of the walk.
+    assert min(parts[1:]) >= spark.sparkContext.defaultParallelism

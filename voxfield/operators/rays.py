@@ -101,6 +101,9 @@ def first_hit(rays: DataFrame, occupied: DataFrame, res: float, depth: int, ray_
     return met.groupBy(ray_id).agg(F.min(F.struct("pos", "node")).alias("_b")).select(ray_id, "_b.pos", "_b.node")
 
 
+SENT = 100_000  # boxes of a level that every task may hold
+
+
 def ray_nodes(
     rays: DataFrame,
     nodes: DataFrame,
@@ -116,6 +119,7 @@ def ray_nodes(
 
     Rays walk down the voxel table level by level, each step an equi-join on the parent, keeping only boxes
     that the line meets (grown by ``pad``). Without ``bidirectional`` boxes behind the origin are dropped.
+    A level of few boxes is sent to the rays: shuffled, all rays of the upper levels would meet in a few tasks.
     """
     from voxfield.operators.voxelmap import describe_nodes
 
@@ -126,6 +130,7 @@ def ray_nodes(
     box = [*[f"c{a}" for a in AXES], "half"]
     boxes = boxes.select("node", F.col("_in").isNull().alias("leaf"), "cx", "cy", "cz", (F.col("half") + F.lit(pad)).alias("half"))
     boxes = cut(boxes.withColumn("parent", K.ancestor(F.col("node"), 1)))
+    sizes = {r["d"]: r["n"] for r in boxes.groupBy(K.node_depth(F.col("node")).alias("d")).agg(F.count("*").alias("n")).collect()}
 
     # Entry and exit of the line through the slabs from its inverse direction; a NULL inverse (a line along
     # the slab) drops out of greatest/least and is tested by place. The slack only keeps a few more rows.
@@ -142,10 +147,15 @@ def ray_nodes(
         kept = kept if bidirectional else kept.filter(F.col("_out") >= -1e-9)
         return kept.select(*ray, "node", "leaf", *box)
 
-    start = rays.select(ray_id, *geo, *[G.safe_div(F.lit(1.0), F.col(f"d{a}")).alias(f"i{a}") for a in AXES])
+    start = spread(rays.select(ray_id, *geo, *[G.safe_div(F.lit(1.0), F.col(f"d{a}")).alias(f"i{a}") for a in AXES]))
     start = start.withColumn("node", F.lit(1).cast("bigint"))
     level = meets(start.join(F.broadcast(boxes.filter(F.col("node") == 1).drop("parent")), "node"))
     step = boxes.select(F.col("parent").alias("_p"), "node", "leaf", *box)
+
+    def below(d: int) -> DataFrame:
+        kids = step.filter(F.col("node").between(1 << 3 * (d + 1), (1 << 3 * (d + 2)) - 1))
+        return F.broadcast(kids) if sizes.get(d + 1, 0) <= SENT else kids
+
     done: DataFrame | None = None
     for d in range(depth + 1):
         # Two levels per written table.
@@ -155,12 +165,12 @@ def ray_nodes(
         inner_rows = level.filter(~F.col("leaf")).select(*ray, F.col("node").alias("_p"))
         if d == depth or (d % 2 == 0 and inner_rows.isEmpty()):
             break
-        level = meets(inner_rows.join(step, "_p").drop("_p"))
-    done = cut(done)
+        level = meets(inner_rows.join(below(d), "_p").drop("_p"))
     low = [F.col(f"c{a}") - F.col("half") for a in AXES]
     high = [F.col(f"c{a}") + F.col("half") for a in AXES]
     d1, d2, hit, _ = S.ray_box([F.col(c) for c in geo[:3]], [F.col(c) for c in geo[3:]], low, high)
-    done = done.select(ray_id, "node", d1.alias("d1"), d2.alias("d2")).filter(F.col("d1").isNotNull())
+    # Written before the filters, which would work the distances out anew for every condition.
+    done = cut(done.select(ray_id, "node", d1.alias("d1"), d2.alias("d2"))).filter(F.col("d1").isNotNull())
     if not bidirectional:
         done = done.filter(F.col("d1") >= 0)
     if max_range > 0:
