@@ -4,6 +4,7 @@ import pytest
 
 from voxfield.operators import mesh
 from voxfield.operators import nearest as N
+from voxfield.session import cut
 
 
 def frame(points, name):
@@ -60,6 +61,19 @@ def cube(spark, low=0.0, high=1.0):
     return mesh.triangle_corners(triangles, vertices)
 
 
+def test_a_small_tree_is_walked_in_one_job(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    src, dst = rng.random((400, 3)), rng.random((600, 3))
+    tables = []
+    monkeypatch.setattr(N, "cut", lambda df: (tables.append(df), cut(df))[1])
+    near = N.nearest_points(spark.createDataFrame(frame(src, "s")), spark.createDataFrame(frame(dst, "d")), "s", "d")
+    # No table of queries between the levels of the tree, and no shuffle of them after the first by query.
+    assert not any("ub2" in t.columns for t in tables)
+    assert near._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(qid") == 1
+    got = near.toPandas().set_index("s").loc[np.arange(len(src))]
+    assert np.allclose(got.dist, brute(src, dst)[0], rtol=0, atol=1e-12)
+
+
 def test_corner_lookup_sends_no_table_through_the_driver(spark):
     # Rows multiply after the scan, which the planner's size of them does not show.
     plan = cube(spark)._jdf.queryExecution().executedPlan().toString()

@@ -19,7 +19,7 @@ from voxfield.functions import geometry as G
 from voxfield.functions import keys as K
 from voxfield.functions import shapes as S
 from voxfield.operators.voxelmap import deepest_of
-from voxfield.session import cut
+from voxfield.session import cut, spread
 
 AXES = "xyz"
 TOP = 20  # finest depth of a 60-bit code
@@ -133,16 +133,33 @@ def _tighten(met: DataFrame) -> DataFrame:
 
 
 STEPS = 2  # tree levels per written table
+SENT = 100_000  # tree nodes that every task may hold, and a quarter of the targets
 
 
-def _descend(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _dealt(queries: DataFrame) -> DataFrame:
+    """Dealt by query, over as many tasks as a shuffle has: few bytes here become many rows."""
+    spark = queries.sparkSession
+    return queries.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "qid")
+
+
+def _descend(frontier: DataFrame, nodes: DataFrame, few: bool, levels: int) -> DataFrame:
     """Replace inner nodes by their children until only leaves are left, dropping nodes that are too far.
 
-    Leaves step to themselves, so several levels run in one job; settled rows leave the loop after it.
+    Leaves step to themselves, so several levels run in one job; settled rows leave the loop after it. A tree of few
+    nodes is sent to the queries: all ``levels`` are then one job over a frontier that is dealt by query already.
     """
     kids = nodes.select(F.col("parent").alias("node"), F.col("node").alias("child"), F.col("leaf").alias("child_leaf"), *BOX)
     own = nodes.filter("leaf").select("node", F.col("node").alias("child"), F.lit(True).alias("child_leaf"), *BOX)
     step = kids.unionByName(own)
+    if few:
+        for _ in range(levels):
+            met = frontier.select("qid", *AXES, "ub2", "node").join(F.broadcast(step), "node")
+            frontier = _tighten(met).select("qid", *AXES, "ub2", F.col("child").alias("node"))
+        return frontier.select("qid", *AXES, "ub2", "node")
     frontier = cut(frontier)
     done = frontier.filter("leaf")
     frontier = frontier.filter(~F.col("leaf"))
@@ -161,20 +178,22 @@ def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) ->
 
     ``src_id`` must be unique in src; coordinates are x, y, z. Empty if dst is empty.
     """
-    src = cut(src.select(F.col(src_id).alias("qid"), *AXES))
+    src = cut(spread(src.select(F.col(src_id).alias("qid"), *AXES)))
     points = cut(dst.groupBy(*AXES).agg(F.min(dst_id).alias("tid")))
     low, edge = _extent(src, points)
+    n_points = points.count()
     points = points.withColumn("code", _code(_keys(low, edge)))
     box = {name: F.col(name[-1]) for name in BOX}
-    nodes, placed, base, last = _build(points, box)
+    nodes, placed, base, deepest = _build(points, box)
+    few = nodes.count() <= SENT
 
     # Upper bound per query: the deepest target node on its own path.
     # Codes of the depth that is used, no deeper: the generated code stays small.
-    src = src.withColumn("leaf", K.location_code(_keys(low, edge, last), last))
+    src = src.withColumn("leaf", K.location_code(_keys(low, edge, deepest), deepest))
     start = deepest_of(src.select("leaf").distinct(), nodes).join(nodes.select("node", *BOX), "node")
     seeded = src.join(start.drop("node"), "leaf").withColumn("ub2", _sure2()).select("qid", *AXES, "ub2")
     # Shuffled once here, before rows multiply: the bound below is per query row.
-    seeded = seeded.repartition("qid")
+    seeded = _dealt(seeded)
 
     # All cells that the ball of the bound can touch, at the depth where cells are about its size.
     seeded = seeded.withColumn("_r", F.sqrt("ub2") * (1 + 1e-9) + F.lit(edge * 1e-9))
@@ -189,13 +208,13 @@ def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) ->
         around = around.withColumn(f"n{a}", F.explode(span))
     prefix = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_d") * 3)
     around = around.withColumn("node", prefix.bitwiseOR(K.morton([F.col(f"n{a}") for a in AXES], base)))
-    frontier = around.select("qid", *AXES, "ub2", "node").join(nodes.select("node", "leaf", *BOX), "node")
+    frontier = around.select("qid", *AXES, "ub2", "node").join(_sent(nodes.select("node", "leaf", *BOX), few), "node")
     frontier = _tighten(frontier).select(*KEPT)
 
-    pairs = _descend(frontier, nodes)
+    pairs = _descend(frontier, nodes, few, deepest)
     targets = placed.select("node", "tid", *[F.col(a).alias(f"t{a}") for a in AXES])
     diff = [F.col(a) - F.col(f"t{a}") for a in AXES]
-    found = pairs.join(targets, "node").select("qid", F.struct(G.dot(diff, diff).alias("d2"), F.col("tid")).alias("_b"))
+    found = pairs.join(_sent(targets, few and n_points <= 4 * SENT), "node").select("qid", F.struct(G.dot(diff, diff).alias("d2"), F.col("tid")).alias("_b"))
     best = found.groupBy("qid").agg(F.min("_b").alias("_b"))
     return best.select(F.col("qid").alias(src_id), F.col("_b.tid").alias(dst_id), F.sqrt("_b.d2").alias("dist"))
 
@@ -218,7 +237,8 @@ def nearest_shapes(
     shapes = cut(shapes.select(F.col(shape_id).alias("tid"), *flat))
     if dims == 2:
         src = src.withColumn("z", F.lit(0.0))
-    src = cut(src.select(F.col(src_id).alias("qid"), *AXES))
+    src = cut(spread(src.select(F.col(src_id).alias("qid"), *AXES)))
+    n_shapes = shapes.count()
     mids, box = {}, {}
     for i, a in enumerate(AXES):
         cols = [F.col(corner[i]) for corner in corners] if i < dims else [F.lit(0.0), F.lit(0.0)]
@@ -227,13 +247,14 @@ def nearest_shapes(
     centred = shapes.select("*", *[c.alias(a) for a, c in mids.items()])
     low, edge = _extent(centred)
     centred = centred.withColumn("code", _code(_keys(low, edge))).drop(*AXES)
-    nodes, placed, _, _ = _build(centred, box)
+    nodes, placed, _, deepest = _build(centred, box)
+    few = nodes.count() <= SENT
     root = nodes.filter(F.col("node") == 1).select("node", "leaf", *BOX)
-    # One row: the root of the tree.
-    frontier = src.withColumn("node", F.lit(1).cast("bigint")).join(F.broadcast(root), "node")
+    # One row: the root of the tree. Dealt by query before rows multiply.
+    frontier = _dealt(src).withColumn("node", F.lit(1).cast("bigint")).join(F.broadcast(root), "node")
     frontier = frontier.withColumn("ub2", _sure2()).select(*KEPT)
-    pairs = _descend(frontier, nodes)
-    found = pairs.join(placed.select("node", "tid", *flat), "node")
+    pairs = _descend(frontier, nodes, few, deepest)
+    found = pairs.join(_sent(placed.select("node", "tid", *flat), few and n_shapes <= 4 * SENT), "node")
     d = distance([F.col(a) for a in AXES[:dims]], [[F.col(c) for c in corner] for corner in corners])
     best = found.groupBy("qid").agg(F.min(F.struct(d.alias("d"), F.col("tid"))).alias("_b"))
     return best.select(F.col("qid").alias(src_id), F.col("_b.tid").alias(shape_id), F.col("_b.d").alias("dist"))
