@@ -125,11 +125,13 @@ def _sure2() -> Column:
 KEPT = ["qid", *AXES, "ub2", "node", "leaf"]
 
 
-def _tighten(met: DataFrame) -> DataFrame:
-    """Lower each query's bound by the nodes it meets, then drop the nodes beyond it."""
-    met = met.withColumn("_near", _near2()).filter(F.col("_near") <= F.col("ub2") * SLACK)
-    met = met.withColumn("ub2", F.least(F.col("ub2"), F.min(_sure2()).over(Window.partitionBy("qid"))))
-    return met.filter(F.col("_near") <= F.col("ub2") * SLACK)
+def _tighten(met: DataFrame, settled: Column | None = None) -> DataFrame:
+    """Lower each query's bound by the nodes it meets, then drop the nodes beyond it; ``settled`` rows take no part."""
+    settled = F.lit(False) if settled is None else settled
+    met = met.withColumn("_near", _near2()).filter(settled | (F.col("_near") <= F.col("ub2") * SLACK))
+    nearest = F.min(F.when(~settled, _sure2())).over(Window.partitionBy("qid"))
+    met = met.withColumn("ub2", F.when(settled, F.col("ub2")).otherwise(F.least(F.col("ub2"), nearest)))
+    return met.filter(settled | (F.col("_near") <= F.col("ub2") * SLACK))
 
 
 STEPS = 2  # tree levels per written table
@@ -156,9 +158,10 @@ def _descend(frontier: DataFrame, nodes: DataFrame, few: bool, levels: int) -> D
     own = nodes.filter("leaf").select("node", F.col("node").alias("child"), F.lit(True).alias("child_leaf"), *BOX)
     step = kids.unionByName(own)
     if few:
-        for _ in range(levels):
-            met = frontier.select("qid", *AXES, "ub2", "node").join(F.broadcast(step), "node")
-            frontier = _tighten(met).select("qid", *AXES, "ub2", F.col("child").alias("node"))
+        for i in range(levels):
+            frontier = frontier if i % STEPS else frontier.withColumn("settled", F.col("leaf"))
+            met = frontier.select("qid", *AXES, "ub2", "node", "settled").join(F.broadcast(step), "node")
+            frontier = _tighten(met, F.col("settled")).select("qid", *AXES, "ub2", F.col("child").alias("node"), F.col("child_leaf").alias("leaf"), "settled")
         return frontier.select("qid", *AXES, "ub2", "node")
     frontier = cut(frontier)
     done = frontier.filter("leaf")
