@@ -4,6 +4,7 @@ import pytest
 
 from voxfield.operators import keyframes as KF
 from voxfield.operators import sampling as SA
+from voxfield.session import cut
 
 
 def walk(sets, ratio):
@@ -35,6 +36,24 @@ def test_iou_key_frames_match_the_walk(spark, width):
         assert sorted(got[got.scene == name].frame_id) == walk(sets, 0.5), name
 
 
+def test_frames_meet_by_words_of_voxels(spark, monkeypatch):
+    """Codes of all ranges, the top bit of a word and null; a dense frame is a few rows, not one per voxel."""
+    rng = np.random.default_rng(12)
+    pool = [*range(-70, 70), 63, (1 << 40) + 63, (1 << 60) + 1, None]
+    sets = {i: {pool[j] for j in rng.choice(len(pool), 90, replace=False)} for i in range(30)}
+    rows = [("a", f, n) for f, nodes in sets.items() for n in nodes]
+    written = []
+    monkeypatch.setattr(KF, "cut", lambda df: written.append(df := cut(df)) or df)
+    got = KF.iou_key_frames(spark.createDataFrame(rows, "scene string, frame_id bigint, node bigint"), 0.46, width=4)
+    last, want = None, []
+    for f, nodes in sets.items():
+        common = len((nodes & last) - {None}) if last is not None else 0
+        if last is None or common / (len(nodes) + len(last) - common) < 0.46:
+            want, last = [*want, f], nodes
+    assert sorted(r.frame_id for r in got.collect()) == want and 1 < len(want) < 30
+    assert max(df.groupBy("f").count().agg({"count": "max"}).first()[0] for df in written if "word" in df.columns) <= 8
+
+
 def cover(sets, window, state=None):
     """The greedy selection on plain sets."""
     if len(sets) <= window:

@@ -71,18 +71,27 @@ def iou_key_frames(frame_voxels: DataFrame, ratio: float, keys: Sequence[str] =
     For all frames at once the next key frame within its own and the following block of ``width`` frames is
     found from the pairs that are still similar; the chain from the first frame is then followed by doubling.
     A chain that stops at a frame whose whole horizon is similar is carried on by widening that one frame's
-    horizon, so long still stretches cost no more pairs than frames.
+    horizon, so long still stretches cost no more pairs than frames. Voxels meet as words: the 64 codes that differ
+    in their last 6 bits are one row with a bit per voxel, so pairs of frames make a row per shared word.
     """
     sets = cut(frame_voxels.select(*keys, "frame_id", "node").distinct())
     sizes = sets.groupBy(*keys, "frame_id").agg(F.count("*").alias("n"))
     block = F.floor(F.col("frame_id") / F.lit(ID_BLOCK)).cast("bigint")
     frames = numbered(sizes, keys, ("frame_id",), block, "f")
     frames = cut(frames)
-    sets = cut(sets.join(frames.select(*keys, "frame_id", "f"), [*keys, "frame_id"]).select(*keys, "f", "node"))
+    sets = sets.join(frames.select(*keys, "frame_id", "f"), [*keys, "frame_id"])
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("node").bitwiseAND(F.lit(63)).cast("int"))
+    words = cut(sets.groupBy(*keys, "f", F.shiftright("node", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
     last = frames.groupBy(*keys).agg(F.max("f").alias("last"))
     n_of = lambda name, at: frames.select(*keys, F.col("f").alias(at), F.col("n").alias(name))
     blk = lambda c: F.floor((F.col(c) - 1) / F.lit(width)).cast("bigint")
 
+    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """Number of common voxels of the pairs (f, g) that have any."""
+        both = F.col("bits").bitwiseAND(F.col("bits2"))
+        pairs = left.join(right.withColumnRenamed("bits", "bits2"), on).filter((F.col("g") > F.col("f")) & (both != 0))
+        return pairs.groupBy(*keys, "f", "g").agg(F.sum(F.bit_count(both)).alias("c"))
+
     def similar(common: DataFrame) -> DataFrame:
         """Pairs (f, g) at or above the ratio from counts of common voxels."""
         both = common.join(n_of("nf", "f"), [*keys, "f"]).join(n_of("ng", "g"), [*keys, "g"])
@@ -97,10 +106,9 @@ def iou_key_frames(frame_voxels: DataFrame, ratio: float, keys: Sequence[str] =
         nxt = F.col(start) + 1 + F.coalesce("_n", F.lit(0))
         return out.withColumn("nxt", F.when(nxt <= F.col(end), nxt)).drop("_n")
 
-    left = sets.select(*keys, "f", "node", F.explode(F.array(blk("f"), blk("f") + 1)).alias("_b"))
-    right = sets.select(*keys, F.col("f").alias("g"), "node", blk("f").alias("_b"))
-    met = left.join(right, [*keys, "_b", "node"]).filter(F.col("g") > F.col("f"))
-    same = similar(met.groupBy(*keys, "f", "g").agg(F.count("*").alias("c")))
+    left = words.select(*keys, "f", "word", "bits", F.explode(F.array(blk("f"), blk("f") + 1)).alias("_b"))
+    right = words.select(*keys, F.col("f").alias("g"), "word", "bits", blk("f").alias("_b"))
+    same = similar(met(left, right, [*keys, "_b", "word"]))
     asked = frames.select(*keys, "f").join(last, list(keys))
     horizon = F.least((blk("f") + 2) * F.lit(width), F.col("last"))
     asked = asked.select(*keys, "f", F.col("f").alias("lo"), horizon.alias("hi"), "last")
@@ -113,11 +121,10 @@ def iou_key_frames(frame_voxels: DataFrame, ratio: float, keys: Sequence[str] =
     while not stuck.isEmpty():
         reach *= 2
         asked = stuck.select(*keys, "f", F.col("hi").alias("lo"), F.least(F.col("hi") + reach, F.col("last")).alias("hi"), "last")
-        mine = sets.join(asked.select(*keys, "f"), [*keys, "f"])
-        near = sets.select(*keys, F.col("f").alias("g"), "node").join(asked.select(*keys, "lo", "hi"), list(keys))
+        mine = words.join(asked.select(*keys, "f"), [*keys, "f"])
+        near = words.select(*keys, F.col("f").alias("g"), "word", "bits").join(asked.select(*keys, "lo", "hi"), list(keys))
         near = near.filter((F.col("g") > F.col("lo")) & (F.col("g") <= F.col("hi"))).drop("lo", "hi")
-        met = mine.join(near, [*keys, "node"]).groupBy(*keys, "f", "g").agg(F.count("*").alias("c"))
-        found = cut(first_gap(asked, similar(met), "lo", "hi"))
+        found = cut(first_gap(asked, similar(met(mine, near, [*keys, "word"])), "lo", "hi"))
         starts = found.filter(F.col("nxt").isNotNull()).select(*keys, F.col("nxt").alias("f"))
         more = follow(nexts, starts, keys)
         reached = cut(reached.unionByName(more).distinct())
