@@ -46,6 +46,14 @@ def test_nearest_points_is_exact(spark, case):
     assert (got.d.to_numpy() == i).all()
 
 
+@pytest.mark.parametrize("case", ["far away", "hot spot and copies", "integer ties"])
+def test_many_points_are_searched_by_leaves(spark, case, monkeypatch):
+    """Large trees: leaves that fill up, queries of one leaf in several parts, distances in several blocks, no walk by shuffled levels."""
+    for name, value in (("MANY", 0), ("PER_LEAF", 8), ("GROUP", 40), ("PAIRS", 100), ("_descend", None)):
+        monkeypatch.setattr(N, name, value)
+    test_nearest_points_is_exact(spark, case)
+
+
 def test_empty_target_gives_no_rows(spark):
     src = spark.createDataFrame(frame(np.random.rand(5, 3), "s"))
     dst = spark.createDataFrame(frame(np.random.rand(1, 3), "d")).filter("d < 0")

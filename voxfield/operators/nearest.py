@@ -6,12 +6,17 @@ spot (or a pile of copies) never makes a large bucket. A query row carries an up
 and keeps only tree nodes that could hold something closer; every step is an equi-join against a side that
 is unique per node. The tables written between steps carry their true sizes, so small ones are broadcast
 and large ones shuffled by the planner's own check.
+
+Many target points get a tree of large leaves that is still small enough to be sent to every task. A query is shuffled to
+the leaf it lies next to, which gives a tight bound, and then only to the leaves within that bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +24,7 @@ from voxfield.functions import geometry as G
 from voxfield.functions import keys as K
 from voxfield.functions import shapes as S
 from voxfield.operators.voxelmap import deepest_of
-from voxfield.session import cut, spread
+from voxfield.session import cut, free, spread
 
 AXES = "xyz"
 TOP = 20  # finest depth of a 60-bit code
@@ -67,30 +72,30 @@ def _boxes(boxes: dict[str, Column]) -> list[Column]:
     return [PICK[name[:2]](c).alias(name) for name, c in boxes.items()]
 
 
-def _base_depth(targets: DataFrame) -> int:
+def _base_depth(targets: DataFrame, per_cell: int) -> int:
     """Deepest level whose cells still hold several targets on average (one pass of small sketches)."""
     depths = range(1, TOP + 1)
     counts = [F.approx_count_distinct(_up(F.col("code"), d), 0.1).alias(f"c{d}") for d in depths]
     row = targets.agg(F.count("*").alias("n"), *counts).first()
-    return max([d for d in depths if row[f"c{d}"] * PER_CELL <= row["n"]], default=1)
+    return max([d for d in depths if row[f"c{d}"] * per_cell <= row["n"]], default=1)
 
 
-def _build(targets: DataFrame, boxes: dict[str, Column]) -> tuple[DataFrame, DataFrame, int, int]:
+def _build(targets: DataFrame, boxes: dict[str, Column], per_cell: int = PER_CELL, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, int, int]:
     """Bucket tree over ``targets`` (with ``code``): (nodes, targets with ``node``, base depth, last depth).
 
     ``nodes``: node, parent, leaf flag and the tight box around everything below it.
     """
-    base = _base_depth(targets)
+    base = _base_depth(targets, per_cell)
     depth, still = base, targets
     leaves: DataFrame | None = None
     placed: DataFrame | None = None
     while True:
         tagged = still.withColumn("node", _up(F.col("code"), depth))
         cells = cut(tagged.groupBy("node").agg(F.count("*").alias("n"), *_boxes(boxes)))
-        full = cells.filter(F.col("n") > BUCKET)
+        full = cells.filter(F.col("n") > bucket)
         if depth >= TOP or full.isEmpty():
             full = None
-        calm = cells if full is None else cells.filter(F.col("n") <= BUCKET)
+        calm = cells if full is None else cells.filter(F.col("n") <= bucket)
         leaves = calm if leaves is None else leaves.unionByName(calm)
         here = tagged if full is None else tagged.join(full.select("node"), "node", "left_anti")
         placed = here if placed is None else placed.unionByName(here.select(placed.columns))
@@ -176,6 +181,79 @@ def _descend(frontier: DataFrame, nodes: DataFrame, few: bool, levels: int) -> D
     return done.select("qid", *AXES, "ub2", "node")
 
 
+MANY = 100_000  # target points from which the tree gets large leaves
+PER_LEAF = 128  # wanted targets per large leaf
+GROUP = 50_000  # queries of one leaf that a task holds
+PAIRS = 1 << 20  # distances that a task holds
+
+
+def _nearest_in(src: pa.Table, dst: pa.Table) -> pa.Table:
+    """Each query of a leaf with its nearest target there, the smallest id on ties."""
+    if not src.num_rows or not dst.num_rows:
+        return src.slice(0, 0).select(["qid", *AXES, "node"]).append_column("d2", pa.array([], "double")).append_column("tid", dst["tid"].slice(0, 0))
+    dst = dst.sort_by("tid")
+    q, t = [[side[c].to_numpy() for c in cols] for side, cols in ((src, AXES), (dst, [f"t{a}" for a in AXES]))]
+    best, d2 = np.empty(len(q[0]), "int64"), np.empty(len(q[0]))
+    rows = max(1, PAIRS // len(t[0]))
+    for i in range(0, len(best), rows):
+        x, y, z = (a[i : i + rows, None] - b for a, b in zip(q, t))
+        d = x * x + y * y + z * z
+        best[i : i + rows] = at = d.argmin(1)
+        d2[i : i + rows] = d[np.arange(len(at)), at]
+    return src.select(["qid", *AXES, "node"]).append_column("d2", pa.array(d2)).append_column("tid", dst["tid"].take(pa.array(best)))
+
+
+def _in_leaves(pairs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Nearest target of each (query, leaf) pair: (qid, x, y, z, node, d2, tid). Leaves with many queries are dealt out in parts."""
+    many = cut(pairs.groupBy("node").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("_parts")))
+    src = pairs.join(many, "node").withColumn("_part", F.pmod(F.hash("qid"), F.col("_parts"))).drop("_parts")
+    dst = targets.join(many, "node").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    kind = {f.name: f.dataType.simpleString() for f in [*pairs.schema, *targets.schema]}
+    schema = f"qid {kind['qid']}, x double, y double, z double, node bigint, d2 double, tid {kind['tid']}"
+    return src.groupBy("node", "_part").cogroup(dst.groupBy("node", "_part")).applyInArrow(_nearest_in, schema)
+
+
+def _next_to(src: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """Queries plus the leaf reached from the root by the nearest child box on each level."""
+    kids = nodes.filter("node > 1").groupBy(F.col("parent").alias("node"))
+    kids = F.broadcast(kids.agg(F.collect_list(F.struct("node", *[c for c in BOX if c[:2] != "at"])).alias("_kids")))
+
+    def near(kid: Column) -> Column:
+        gaps = [F.greatest(kid[f"lo_{a}"] - F.col(a), F.col(a) - kid[f"hi_{a}"], F.lit(0.0)) for a in AXES]
+        return F.struct((gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]).alias("d"), kid["node"].alias("node"))
+
+    out = src.withColumn("node", F.lit(1).cast("bigint"))
+    for _ in range(depth):
+        below = F.array_min(F.transform("_kids", near))["node"]
+        out = out.join(kids, "node", "left").withColumn("node", F.coalesce(below, F.col("node"))).drop("_kids")
+    return out
+
+
+def _nearest_of_many(src: DataFrame, points: DataFrame, n_points: int, low: Sequence[float], edge: float) -> DataFrame:
+    """(qid, d2, tid) of the nearest of many points. Two shuffles of the queries: to the leaf next to each, then to the other
+    leaves within the distance found there. The number of leaves is bounded, so the tree can be sent to every task."""
+    known = F.lit(True)
+    for a in AXES:
+        known = known & F.col(a).isNotNull()
+    points = points.filter(known).withColumn("code", _code(_keys(low, edge)))
+    per_leaf = max(PER_LEAF, n_points // SENT)
+    nodes, placed, _, depth = _build(points, {name: F.col(name[-1]) for name in BOX}, per_leaf, 4 * per_leaf)
+    targets = cut(placed.select("node", "tid", *[F.col(a).alias(f"t{a}") for a in AXES]))
+    at = cut(_next_to(src.filter(known), nodes, depth).select("qid", *AXES, "node"))
+    free(src)
+    first = cut(_in_leaves(at, targets))
+    free(at)
+    kids = nodes.filter("node > 1").select(F.col("parent").alias("node"), F.col("node").alias("child"), *BOX)
+    own = nodes.filter("leaf").select("node", F.col("node").alias("child"), *BOX)
+    step = F.broadcast(kids.unionByName(own).drop(*[c for c in BOX if c[:2] == "at"]))
+    near = first.select("qid", *AXES, (F.col("d2") * SLACK).alias("ub2"), F.col("node").alias("home"), F.lit(1).cast("bigint").alias("node"))
+    for _ in range(depth):
+        near = near.join(step, "node").filter(_near2() <= F.col("ub2")).select("qid", *AXES, "ub2", "home", F.col("child").alias("node"))
+    others = cut(near.filter(F.col("node") != F.col("home")).select("qid", *AXES, "node"))
+    found = first.unionByName(_in_leaves(others, targets)).select("qid", F.struct("d2", "tid").alias("_b"))
+    return found.groupBy("qid").agg(F.min("_b").alias("_b")).select("qid", "_b.d2", "_b.tid")
+
+
 def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) -> DataFrame:
     """(src_id, dst_id, dist) of the nearest dst point; equal distances give the smallest dst id.
 
@@ -185,6 +263,9 @@ def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) ->
     points = cut(dst.groupBy(*AXES).agg(F.min(dst_id).alias("tid")))
     low, edge = _extent(src, points)
     n_points = points.count()
+    if n_points > MANY:
+        best = _nearest_of_many(src, points, n_points, low, edge)
+        return best.select(F.col("qid").alias(src_id), F.col("tid").alias(dst_id), F.sqrt("d2").alias("dist"))
     points = points.withColumn("code", _code(_keys(low, edge)))
     box = {name: F.col(name[-1]) for name in BOX}
     nodes, placed, base, deepest = _build(points, box)
