@@ -97,3 +97,13 @@ def test_linked_sets_share_a_listed_gram():
         for m in range(-(-85 * n // 100), n + 1):
             least = O.needed(n + m, 85)
             assert O.listed(n, 85) + least > n and (m < least or O.listed(m, 85) + least > m)
+
+
+def test_fingerprint_pairs_are_verified_where_no_tile_is_open(spark, monkeypatch):
+    """No two texts share an n-gram: the stage still takes the SimHash step, and keeps every row."""
+    asked = []
+    monkeypatch.setattr(O.simhash, "links", lambda fps, f=O.simhash.links: (asked.append(fps.count()), f(fps))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(5)] + [(9, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in O.first_rows(docs, 5, 80).collect()) == [0, 1, 2, 3, 4, 9]
+    assert asked == [5]
+    assert O.join_classes(docs).count() == 6 and asked == [5]

@@ -361,7 +361,8 @@ def _classes(docs: DataFrame, width: int, percent: int, fingerprints: bool = Fal
     session.free(listed_by)
     links = named = None
     for k in range(FORESTS + 2):
-        if not members.take(1):
+        # The fingerprints' own pairs are verified even where no tile is open.
+        if not (fingerprints and not k) and not members.take(1):
             break
         pairs = _across(members, sets, percent, k <= FORESTS) if k else _around_centres(members, sets, percent)
         proposed = _by_fingerprint(docs, nodes, width) if fingerprints and not k else None
