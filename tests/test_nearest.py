@@ -54,6 +54,46 @@ def test_many_points_are_searched_by_leaves(spark, case, monkeypatch):
     test_nearest_points_is_exact(spark, case)
 
 
+def test_slices_of_queries_walk_boxes_as_brute_force(monkeypatch):
+    """Every size of tree, slices that are halved for want of room, bounds from outside, queries far away, and ties."""
+    rng = np.random.default_rng(21)
+    monkeypatch.setattr(N, "PAIRS", 300)
+    for n in (1, 2, 15, 17, 64, 65, 900):
+        dst = np.concatenate([rng.random((n, 3)), rng.integers(0, 3, (n // 2, 3)).astype(float)])
+        src = np.concatenate([rng.random((120, 3)), rng.integers(0, 3, (60, 3)) + 0.5, 1e6 + rng.random((20, 3)), dst[:5]])
+        d = ((src[:, None] - dst[None]) ** 2).sum(-1)
+        bound = np.where(np.arange(len(src)) % 3 == 0, d.min(1), np.where(np.arange(len(src)) % 3 == 1, np.inf, d.min(1) * 0.9))
+        got, at = N._closest(src.T.copy(), bound, dst)
+        on = at >= 0
+        assert np.allclose(got[on], d.min(1)[on], rtol=1e-12, atol=0) and (on | (np.arange(len(src)) % 3 == 2)).all()
+        assert all(d[i, at[i]] == got[i] and at[i] == np.flatnonzero(d[i] == got[i])[0] for i in np.flatnonzero(on))
+
+
+def test_cuts_reach_every_point_and_balance(monkeypatch):
+    rng = np.random.default_rng(22)
+    # Far outliers, a dense spot, and one axis with few values.
+    p = np.concatenate([rng.random((4000, 3)), 0.5 + 1e-12 * rng.random((4000, 3)), [[1e12, 0, 0]], np.c_[rng.integers(0, 2, 2000), rng.random((2000, 2))]])
+    cuts = N._cuts(p, 100)
+    size = np.bincount(N._leaf_of(cuts, p))
+    assert size.max() <= 100 and len(size) < 4 * len(p) / 100
+    assert (N._leaf_of(N._cuts(np.zeros((50, 3)), 10), np.zeros((3, 3))) == 0).all()
+
+
+def test_many_points_take_two_shuffles_of_the_queries(spark, monkeypatch):
+    """Queries of few distinct places and a target far off: no step multiplies the queries by the targets."""
+    monkeypatch.setattr(N, "MANY", 100)
+    monkeypatch.setattr(N, "PER_LEAF", 64)
+    tables = []
+    monkeypatch.setattr(N, "cut", lambda df: (tables.append(out := cut(df)), out)[1])
+    rng = np.random.default_rng(23)
+    src, dst = np.repeat(rng.random((300, 3)), 5, axis=0), np.concatenate([rng.random((1500, 3)), [[1e9, 0, 0]]])
+    got = N.nearest_points(spark.createDataFrame(frame(src, "s")), spark.createDataFrame(frame(dst, "d")), "s", "d").toPandas().set_index("s").loc[np.arange(len(src))]
+    assert np.allclose(got.dist, brute(src, dst)[0], rtol=0, atol=1e-12) and (got.d == brute(src, dst)[1]).all()
+    first = next(t for t in tables if "others" in t.columns)
+    others = first.selectExpr("sum(size(others))").first()[0]
+    assert first.count() == len(src) and others < 3 * len(src)
+
+
 def test_empty_target_gives_no_rows(spark):
     src = spark.createDataFrame(frame(np.random.rand(5, 3), "s"))
     dst = spark.createDataFrame(frame(np.random.rand(1, 3), "d")).filter("d < 0")

@@ -7,8 +7,9 @@ and keeps only tree nodes that could hold something closer; every step is an equ
 is unique per node. The tables written between steps carry their true sizes, so small ones are broadcast
 and large ones shuffled by the planner's own check.
 
-Many target points get a tree of large leaves that is still small enough to be sent to every task. A query is shuffled to
-the leaf it lies next to, which gives a tight bound, and then only to the leaves within that bound.
+Many target points are dealt to large leaves, so few that every task may hold their boxes. A query is shuffled to
+the leaf around it, which gives a tight bound, and then only to the leaves within that bound. Inside a leaf, slices of
+queries walk a tree of small boxes together.
 """
 
 from __future__ import annotations
@@ -181,76 +182,226 @@ def _descend(frontier: DataFrame, nodes: DataFrame, few: bool, levels: int) -> D
     return done.select("qid", *AXES, "ub2", "node")
 
 
-MANY = 100_000  # target points from which the tree gets large leaves
-PER_LEAF = 128  # wanted targets per large leaf
-GROUP = 50_000  # queries of one leaf that a task holds
-PAIRS = 1 << 20  # distances that a task holds
-
-
-def _nearest_in(src: pa.Table, dst: pa.Table) -> pa.Table:
-    """Each query of a leaf with its nearest target there, the smallest id on ties."""
-    if not src.num_rows or not dst.num_rows:
-        return src.slice(0, 0).select(["qid", *AXES, "node"]).append_column("d2", pa.array([], "double")).append_column("tid", dst["tid"].slice(0, 0))
-    dst = dst.sort_by("tid")
-    q, t = [[side[c].to_numpy() for c in cols] for side, cols in ((src, AXES), (dst, [f"t{a}" for a in AXES]))]
-    best, d2 = np.empty(len(q[0]), "int64"), np.empty(len(q[0]))
-    rows = max(1, PAIRS // len(t[0]))
-    for i in range(0, len(best), rows):
-        x, y, z = (a[i : i + rows, None] - b for a, b in zip(q, t))
-        d = x * x + y * y + z * z
-        best[i : i + rows] = at = d.argmin(1)
-        d2[i : i + rows] = d[np.arange(len(at)), at]
-    return src.select(["qid", *AXES, "node"]).append_column("d2", pa.array(d2)).append_column("tid", dst["tid"].take(pa.array(best)))
+MANY = 2_000  # target points from which both sides are dealt to large leaves
+PER_LEAF = 8192  # wanted targets per large leaf
+LEAVES = 4096  # large leaves at most, about: every task holds their boxes
+DRAWN = 16  # targets per leaf that the cuts between the leaves come from
+GROUP = 1 << 15  # queries of one leaf that a task holds
+SLICE, PAIRS = 4096, 1 << 20  # queries that walk a tree of boxes together, and pairs (query, box) held at once
+CELL, FAN = 16, 4  # items of a smallest box, and children of each other box
+
+
+def _cuts(drawn: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Axis, value and children of each cut; a child below 0 is the leaf of that complement. Leaves hold ``most`` of the drawn points, if these differ."""
+    axis, value, kids, n_leaves = [], [], [], 0
+    todo = [(drawn, None)]
+    while todo:
+        p, above = todo.pop()
+        gap = p.max(0) - p.min(0)
+        if len(p) <= most or not gap.max() > 0:
+            name, n_leaves = ~n_leaves, n_leaves + 1
+        else:
+            name, a = len(axis), int(gap.argmax())
+            x = np.sort(p[:, a])
+            at = x[(len(x) - 1) // 2]
+            at = at if at < x[-1] else x[np.searchsorted(x, at) - 1]
+            axis.append(a)
+            value.append(at)
+            kids.append([0, 0])
+            todo += [(p[p[:, a] <= at], (name, 0)), (p[p[:, a] > at], (name, 1))]
+        if above:
+            kids[above[0]][above[1]] = name
+    return np.array(axis, np.int64), np.array(value), np.array(kids, np.int64).reshape(-1, 2)
+
+
+def _leaf_of(cuts: tuple[np.ndarray, np.ndarray, np.ndarray], p: np.ndarray) -> np.ndarray:
+    axis, value, kids = cuts
+    at = np.full(len(p), 0 if len(axis) else ~0)
+    on = np.arange(len(p) if len(axis) else 0)
+    while len(on):
+        k = at[on]
+        at[on] = kids[k, (p[on, axis[k]] > value[k]).astype(np.int64)]
+        on = on[at[on] >= 0]
+    return ~at
+
+
+def _box_tree(low: np.ndarray, high: np.ndarray, cell: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Items (as rows of ``cell`` at most; some come twice to fill them), and lows and highs of the boxes on each level by parent: (2, 3, parent, FAN)."""
+    n, steps = len(low), 0
+    while n > cell * FAN**steps:
+        steps += 1
+    rows = FAN**steps
+    item = np.arange(rows * -(-n // rows)) * n // (rows * -(-n // rows))
+    mid = low + high
+    halvings = steps * (FAN.bit_length() - 1)
+    for i in range(halvings):
+        part = mid[item].reshape(1 << i, -1, 3)
+        a = (part.max(1) - part.min(1)).argmax(1)
+        by = np.take_along_axis(part, a[:, None, None], 2)[:, :, 0]
+        by = np.argpartition(by, by.shape[1] // 2, axis=1)
+        item = np.take_along_axis(item.reshape(1 << i, -1), by, 1).ravel()
+    levels = []
+    for i in range(1, steps + 1):
+        shape = (FAN ** (i - 1), FAN, -1, 3)
+        levels.append(np.stack([low[item].reshape(shape).min(2), high[item].reshape(shape).max(2)]).transpose(0, 3, 1, 2).copy())
+    return item.reshape(rows, -1), levels
+
+
+def _gaps(level: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of points to the FAN boxes below ``at``."""
+    out = 0.0
+    for a in range(3):
+        x = q[a][:, None]
+        g = np.maximum(level[0, a][at] - x, x - level[1, a][at])
+        np.maximum(g, 0.0, out=g)
+        g *= g
+        out = out + g
+    return out
 
 
-def _in_leaves(pairs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Nearest target of each (query, leaf) pair: (qid, x, y, z, node, d2, tid). Leaves with many queries are dealt out in parts."""
+def _met(levels: list[np.ndarray], q: np.ndarray, bound: np.ndarray):
+    """(query, smallest box) of every box within ``bound`` (squared) of a query, in the order of the queries; None if too many meet."""
+    who, at = np.arange(q.shape[1]), np.zeros(q.shape[1], np.int64)
+    for level in levels:
+        if len(who) * FAN > PAIRS and q.shape[1] > 1:
+            return None
+        i, k = np.nonzero(_gaps(level, at, q[:, who]) <= bound[who][:, None])
+        who, at = who[i], at[i] * FAN + k
+    return who, at
+
+
+def _parts(n: int):
+    """Places of the queries, a slice at a time; a slice that is sent back goes on in halves."""
+    todo = [(i, min(i + SLICE, n)) for i in range(0, n, SLICE)][::-1]
+    while todo:
+        a, b = todo.pop()
+        if (yield a, b):
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+            yield
+
+
+def _closest(q: np.ndarray, bound: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, place) of the nearest of ``points`` within ``bound`` (squared), the first on ties; infinite and -1 without."""
+    d2, place = np.full(q.shape[1], np.inf), np.full(q.shape[1], -1)
+    item, levels = _box_tree(points, points, CELL)
+    cells = [points[item, a] for a in range(3)]
+    parts = _parts(q.shape[1])
+    for a, b in parts:
+        x = q[:, a:b]
+        home = np.zeros(b - a, np.int64)
+        for level in levels:
+            home = home * FAN + _gaps(level, home, x).argmin(1)
+        ub = np.minimum(bound[a:b], sum((x[k][:, None] - cells[k][home]) ** 2 for k in range(3)).min(1))
+        met = _met(levels, x, ub * SLACK)
+        if met is None or (len(met[0]) * item.shape[1] > 2 * PAIRS and b - a > 1):
+            parts.send(True)
+            continue
+        who, at = met
+        if not len(who):
+            continue
+        e = [x[k][who][:, None] - cells[k][at] for k in range(3)]
+        d = e[0] * e[0] + e[1] * e[1] + e[2] * e[2]
+        heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        low = np.minimum.reduceat(d.min(1), heads)
+        first = np.where(d == np.repeat(low, np.diff(np.r_[heads, len(who)]))[:, None], item[at], len(points)).min(1)
+        on = low <= bound[a + who[heads]]
+        to = a + who[heads][on]
+        d2[to], place[to] = low[on], np.minimum.reduceat(first, heads)[on]
+    return d2, place
+
+
+def _leaves_met(tree: tuple[np.ndarray, list[np.ndarray]], q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, leaf) of every leaf box within ``bound`` (squared), sorted."""
+    item, levels = tree
+    out, parts = [np.zeros((0, 2), np.int64)], _parts(q.shape[1])
+    for a, b in parts:
+        met = _met(levels, q[:, a:b], bound[a:b])
+        if met is None:
+            parts.send(True)
+            continue
+        # Items come twice where they fill a row.
+        out.append(np.unique(np.c_[a + met[0], item[met[1], 0]], axis=0))
+    return tuple(np.concatenate(out).T)
+
+
+def _xyz(t: pa.Table | pa.RecordBatch, names: Sequence[str] = AXES) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy(zero_copy_only=False) for c in names])
+
+
+def _spread(queries: DataFrame) -> DataFrame:
+    """``session.spread`` by query: dealing rows out in turn would sort them first."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return queries.repartition(cores, "qid") if 0 < len(queries._jdf.inputFiles()) < cores else queries
+
+
+def _in_leaves(pairs: DataFrame, targets: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``search`` over the queries and the targets of each leaf. Leaves with many queries are dealt out in parts."""
     many = cut(pairs.groupBy("node").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("_parts")))
-    src = pairs.join(many, "node").withColumn("_part", F.pmod(F.hash("qid"), F.col("_parts"))).drop("_parts")
-    dst = targets.join(many, "node").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    kind = {f.name: f.dataType.simpleString() for f in [*pairs.schema, *targets.schema]}
-    schema = f"qid {kind['qid']}, x double, y double, z double, node bigint, d2 double, tid {kind['tid']}"
-    return src.groupBy("node", "_part").cogroup(dst.groupBy("node", "_part")).applyInArrow(_nearest_in, schema)
-
-
-def _next_to(src: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """Queries plus the leaf reached from the root by the nearest child box on each level."""
-    kids = nodes.filter("node > 1").groupBy(F.col("parent").alias("node"))
-    kids = F.broadcast(kids.agg(F.collect_list(F.struct("node", *[c for c in BOX if c[:2] != "at"])).alias("_kids")))
-
-    def near(kid: Column) -> Column:
-        gaps = [F.greatest(kid[f"lo_{a}"] - F.col(a), F.col(a) - kid[f"hi_{a}"], F.lit(0.0)) for a in AXES]
-        return F.struct((gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]).alias("d"), kid["node"].alias("node"))
-
-    out = src.withColumn("node", F.lit(1).cast("bigint"))
-    for _ in range(depth):
-        below = F.array_min(F.transform("_kids", near))["node"]
-        out = out.join(kids, "node", "left").withColumn("node", F.coalesce(below, F.col("node"))).drop("_kids")
-    return out
+    src = pairs.join(many, "node").withColumn("_part", F.pmod(F.xxhash64("qid"), F.col("_parts"))).drop("_parts")
+    dst = targets.join(many, "node").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+    return src.groupBy("node", "_part").cogroup(dst.groupBy("node", "_part")).applyInArrow(search, schema)
 
 
-def _nearest_of_many(src: DataFrame, points: DataFrame, n_points: int, low: Sequence[float], edge: float) -> DataFrame:
-    """(qid, d2, tid) of the nearest of many points. Two shuffles of the queries: to the leaf next to each, then to the other
-    leaves within the distance found there. The number of leaves is bounded, so the tree can be sent to every task."""
+def _nearest_of_many(src: DataFrame, points: DataFrame, n_points: int) -> DataFrame:
+    """(qid, d2, tid) of the nearest of many points. Two shuffles of the queries: to the leaf around each, then to the other
+    leaves within the distance found there. Cuts between leaves come from a bounded draw of the points; every point is in a leaf."""
     known = F.lit(True)
     for a in AXES:
         known = known & F.col(a).isNotNull()
-    points = points.filter(known).withColumn("code", _code(_keys(low, edge)))
-    per_leaf = max(PER_LEAF, n_points // SENT)
-    nodes, placed, _, depth = _build(points, {name: F.col(name[-1]) for name in BOX}, per_leaf, 4 * per_leaf)
-    targets = cut(placed.select("node", "tid", *[F.col(a).alias(f"t{a}") for a in AXES]))
-    at = cut(_next_to(src.filter(known), nodes, depth).select("qid", *AXES, "node"))
-    free(src)
-    first = cut(_in_leaves(at, targets))
+    points = points.filter(known)
+    per_leaf = max(PER_LEAF, -(-n_points // LEAVES))
+    one_in = max(1, per_leaf // DRAWN)
+    drawn = points.filter(F.pmod(F.xxhash64(*AXES), F.lit(one_in)) == 0).select(*AXES).toArrow()
+    drawn = drawn if drawn.num_rows else points.select(*AXES).limit(1).toArrow()
+    if not drawn.num_rows:
+        return src.select("qid", F.lit(0.0).alias("d2"), F.lit(None).cast(points.schema["tid"].dataType).alias("tid")).limit(0)
+    cuts = _cuts(_xyz(drawn).T, per_leaf / one_in)
+
+    def place(batches):
+        for batch in batches:
+            leaf = pa.array(_leaf_of(cuts, _xyz(batch).T.astype(float)), pa.int32())
+            yield pa.RecordBatch.from_arrays([leaf, *batch.columns], names=["node", *batch.schema.names])
+
+    def placed(df: DataFrame) -> DataFrame:
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
+        return cut(df.mapInArrow(place, ", ".join(["node int", *kinds])))
+
+    targets = placed(points.select(*[F.col(a).cast("double").alias(a) for a in AXES], "tid"))
+    sides = targets.groupBy("node").agg(*[f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES]).toArrow()
+    name = sides.column("node").to_numpy()
+    leaves = _box_tree(*[_xyz(sides, [f"{n}{a}" for a in AXES]).T for n in ("lo", "hi")], 1)
+    at = placed(src.filter(known).select("qid", *[F.col(a).cast("double").alias(a) for a in AXES]))
+    kind = {f.name: f.dataType.simpleString() for f in [*at.schema, *targets.schema]}
+    cols = ["qid", *AXES]
+
+    def near(src: pa.Table, dst: pa.Table, bound: np.ndarray):
+        dst = dst.take(pa.compute.sort_indices(dst, [("tid", "ascending")], null_placement="at_start"))
+        d2, at = _closest(_xyz(src), bound, _xyz(dst).T.copy())
+        # Only a place that is not a number is at no distance from anything.
+        return np.where(at < 0, np.nan, d2), np.maximum(at, 0), dst.column("tid")
+
+    def around(src: pa.Table, dst: pa.Table) -> pa.Table:
+        if not src.num_rows or not dst.num_rows:
+            return pa.table([*src.slice(0, 0).select(cols).columns, pa.array([], pa.float64()), dst.slice(0, 0).column("tid"), pa.array([], pa.list_(pa.int32()))], names=[*cols, "d2", "tid", "others"])
+        d2, at, tid = near(src, dst, np.full(src.num_rows, np.inf))
+        who, leaf = _leaves_met(leaves, _xyz(src), d2 * SLACK)
+        who, leaf = (x[name[leaf] != src.column("node")[0].as_py()] for x in (who, name[leaf]))
+        ends = np.searchsorted(who, np.arange(src.num_rows + 1))
+        others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf, pa.int32()))
+        return pa.table([*src.select(cols).columns, pa.array(d2), tid.take(pa.array(at)), others], names=[*cols, "d2", "tid", "others"])
+
+    def beyond(src: pa.Table, dst: pa.Table) -> pa.Table:
+        if not src.num_rows or not dst.num_rows:
+            return pa.table([src.slice(0, 0).column("qid"), pa.array([], pa.float64()), dst.slice(0, 0).column("tid")], names=["qid", "d2", "tid"])
+        had = src.column("d2").to_numpy()
+        d2, at, tid = near(src, dst, had)
+        on = np.flatnonzero(d2 <= had)
+        return pa.table([src.column("qid").take(pa.array(on)), pa.array(d2[on]), tid.take(pa.array(at[on]))], names=["qid", "d2", "tid"])
+
+    first = cut(_in_leaves(at, targets, around, f"qid {kind['qid']}, x double, y double, z double, d2 double, tid {kind['tid']}, others array<int>"))
     free(at)
-    kids = nodes.filter("node > 1").select(F.col("parent").alias("node"), F.col("node").alias("child"), *BOX)
-    own = nodes.filter("leaf").select("node", F.col("node").alias("child"), *BOX)
-    step = F.broadcast(kids.unionByName(own).drop(*[c for c in BOX if c[:2] == "at"]))
-    near = first.select("qid", *AXES, (F.col("d2") * SLACK).alias("ub2"), F.col("node").alias("home"), F.lit(1).cast("bigint").alias("node"))
-    for _ in range(depth):
-        near = near.join(step, "node").filter(_near2() <= F.col("ub2")).select("qid", *AXES, "ub2", "home", F.col("child").alias("node"))
-    others = cut(near.filter(F.col("node") != F.col("home")).select("qid", *AXES, "node"))
-    found = first.unionByName(_in_leaves(others, targets)).select("qid", F.struct("d2", "tid").alias("_b"))
+    more = _in_leaves(first.select(*cols, "d2", F.explode("others").alias("node")), targets, beyond, f"qid {kind['qid']}, d2 double, tid {kind['tid']}")
+    found = first.select("qid", "d2", "tid").unionByName(more).select("qid", F.struct("d2", "tid").alias("_b"))
     return found.groupBy("qid").agg(F.min("_b").alias("_b")).select("qid", "_b.d2", "_b.tid")
 
 
@@ -259,13 +410,14 @@ def nearest_points(src: DataFrame, dst: DataFrame, src_id: str, dst_id: str) ->
 
     ``src_id`` must be unique in src; coordinates are x, y, z. Empty if dst is empty.
     """
-    src = cut(spread(src.select(F.col(src_id).alias("qid"), *AXES)))
+    src = src.select(F.col(src_id).alias("qid"), *AXES)
     points = cut(dst.groupBy(*AXES).agg(F.min(dst_id).alias("tid")))
-    low, edge = _extent(src, points)
     n_points = points.count()
     if n_points > MANY:
-        best = _nearest_of_many(src, points, n_points, low, edge)
+        best = _nearest_of_many(_spread(src), points, n_points)
         return best.select(F.col("qid").alias(src_id), F.col("tid").alias(dst_id), F.sqrt("d2").alias("dist"))
+    src = cut(spread(src))
+    low, edge = _extent(src, points)
     points = points.withColumn("code", _code(_keys(low, edge)))
     box = {name: F.col(name[-1]) for name in BOX}
     nodes, placed, base, deepest = _build(points, box)
