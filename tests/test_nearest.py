@@ -158,3 +158,16 @@ def test_polygon_with_a_hole(spark):
     p = spark.createDataFrame([(0, 1.0, 2.0), (1, 5.0, 5.0), (2, -3.0, -4.0), (3, 5.0, 8.5)], "pid int, x double, y double")
     got = {r.pid: r.sdf for r in mesh.polygon_sdf(p, edges, "pid", "eid").collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {0: -1.0, 1: 1.0, 2: 5.0, 3: -1.5}
+
+
+def test_cloud_labels_of_many_points_are_searched_by_leaves(spark, monkeypatch):
+    """All seven probes of a grid point, none by the levels of a tree."""
+    for name, value in (("PER_LEAF", 64), ("_descend", None)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(24)
+    grid, cloud = rng.random((40, 3)), rng.random((2500, 3))
+    got = N.cloud_labels(spark.createDataFrame(frame(grid, "g")), spark.createDataFrame(frame(cloud, "c")), 0.01, "g", "c").toPandas().set_index("g").loc[np.arange(len(grid))]
+    near = lambda p: brute(p, cloud)[0]
+    slope = np.stack([(near(grid + e) - near(grid - e)) / 0.02 for e in 0.01 * np.eye(3)], axis=1)
+    slope /= np.linalg.norm(slope, axis=1, keepdims=True)
+    assert np.allclose(got.sdf, near(grid)) and np.allclose(got[["gx", "gy", "gz"]], slope)
