@@ -88,6 +88,39 @@ def test_ray_nodes_against_every_leaf(spark):
             assert order == sorted(order)
 
 
+def test_a_whole_tree_is_walked_without_tables_and_as_by_levels(spark, monkeypatch):
+    """Leaves of several depths, lines along slabs and from their planes, shared and missing ids, missing coordinates, slices in halves."""
+    rng = np.random.default_rng(16)
+    cells = np.unique(rng.integers(10, 22, (400, 3)), axis=0)
+    leaf = spark.createDataFrame(pd.DataFrame(cells, columns=["kx", "ky", "kz"])).select(K.location_code(K.key_columns(), 5).alias("node"))
+    nodes = V.build_nodes(leaf, 5)
+    block = nodes.filter(K.node_depth(F.col("node")) == 3).select(F.col("node").alias("up")).orderBy("up").limit(2)
+    nodes = nodes.join(F.broadcast(block), (K.node_depth(F.col("node")) > 3) & (F.expr("shiftright(node, 3) = up or shiftright(node, 6) = up")), "left_anti")
+    pdf, _ = table(spark, 60)
+    pdf.loc[20:24, ["ox", "oy", "oz"]] = np.round(pdf.loc[20:24, ["ox", "oy", "oz"]] * 2) / 2
+    rows = [tuple(None if v != v else v for v in r) for r in pdf[["ray_id", "ox", "oy", "oz", "dx", "dy", "dz"]].astype(object).itertuples(index=False)]
+    rows += [(3, *rows[30][1:]), (None, *rows[31][1:]), (90, 0.1, None, 0.1, 0.6, 0.8, 0.0), (91, 0.1, 0.1, 0.1, 0.0, 0.0, 0.0), (92, 0.1, 0.1, 0.1, 0.6, None, 0.8), (93, None, None, None, 0.6, 0.0, 0.8)]
+    rays = spark.createDataFrame(rows, "ray_id bigint, ox double, oy double, oz double, dx double, dy double, dz double")
+
+    def hits(both, reach):
+        got = R.ray_nodes(rays, nodes, 0.5, 5, bidirectional=both, max_range=reach)
+        return sorted(((r.ray_id is None, r.ray_id, r.node, r.d1, r.d2) for r in got.collect()), key=str)
+
+    tables = []
+    for both, reach in ((False, 0.0), (True, 3.0)):
+        monkeypatch.setattr(R, "cut", lambda df: (tables.append(df.columns), cut(df))[1])
+        whole = hits(both, reach)
+        # The boxes and the rays; no step of the walk, and no hits.
+        assert len(tables) == 2 and not any("d1" in t or "ix" in t for t in tables)
+        monkeypatch.setattr(R, "PAIRS", 50)
+        assert hits(both, reach) == whole
+        monkeypatch.setattr(R, "SENT", 0)
+        tables.clear()
+        assert hits(both, reach) == whole and len(tables) > 3 and len(whole) > 100
+        monkeypatch.undo()
+        tables.clear()
+
+
 def test_updates_fold_in_order_over_many_blocks(spark):
     rng = np.random.default_rng(15)
     frames = np.concatenate([rng.choice(3_000_000, 3000, replace=False), [5, 6, 7]])

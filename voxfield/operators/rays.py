@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +102,77 @@ def first_hit(rays: DataFrame, occupied: DataFrame, res: float, depth: int, ray_
     return met.groupBy(ray_id).agg(F.min(F.struct("pos", "node")).alias("_b")).select(ray_id, "_b.pos", "_b.node")
 
 
-SENT = 100_000  # boxes of a level that every task may hold
+SENT = 100_000  # boxes of a level, or of a whole tree, that every task may hold
+RAYS = 1 << 16  # rays of a task: its hits are sorted by partition in memory
+SLICE, PAIRS = 1024, 1 << 20  # rays that walk down together, and pairs (ray, box) held at once
+
+
+def _walk_whole(rays: DataFrame, boxes: DataFrame, ray_id: str, bidirectional: bool, max_range: float) -> DataFrame:
+    """(ray_id, node, d1, d2) of the lines of ``rays`` and the leaves that they meet in a tree that every task holds.
+
+    Slices of rays go down from node 1 together and keep what ``ray_nodes`` keeps: axes without an inverse direction are tested by place, the
+    slack only keeps a few more. Distances are those of ``shapes.ray_box``; a missing coordinate leaves its axis out.
+    """
+    geo = [f"{p}{a}" for p in ("o", "d") for a in AXES]
+    tree = boxes.filter("node is not null").select("node", "half", *[f"c{a}" for a in AXES]).toArrow().sort_by("node")
+    node, half, *mid = (tree.column(c).to_numpy() for c in ("node", "half", *[f"c{a}" for a in AXES]))
+    first, last = np.searchsorted(node, node * 8), np.searchsorted(node, node * 8 + 8)
+    roots = np.flatnonzero(node == 1)
+    far = max_range + 1e-9 * (1.0 + max_range) if max_range > 0 else np.inf
+    back = far if bidirectional else min(far, 1e-9)
+
+    def meets(o, d, who, at):
+        into, out, on = np.full(len(who), -np.inf), np.full(len(who), np.inf), np.ones(len(who), bool)
+        h, inv = half[at], np.where(d == 0, np.nan, 1.0 / d)
+        for a in range(3):
+            gap, i = mid[a][at] - o[a][who], inv[a][who]
+            on &= ~np.isnan(i) | (np.abs(gap) <= h)
+            gap *= i
+            width = h * np.abs(i)
+            np.fmax(into, gap - width, out=into)
+            np.fmin(out, gap + width, out=out)
+        return on & (out - into >= -1e-9 * (1.0 + np.abs(into) + np.abs(out))) & ~np.isinf(into) & (into <= far) & (out >= -back)
+
+    def walk(o, d):
+        n = o.shape[1]
+        who, at = np.repeat(np.arange(n), len(roots)), np.tile(roots, n)
+        found = [(who[:0], at[:0])]
+        while len(who):
+            on = meets(o, d, who, at)
+            who, at = who[on], at[on]
+            kids = last[at] - first[at]
+            found.append((who[kids == 0], at[kids == 0]))
+            if kids.sum() > PAIRS and n > 1:
+                (w, k), (v, l) = (walk(o[:, part], d[:, part]) for part in (slice(n // 2), slice(n // 2, n)))
+                return np.r_[w, v + n // 2], np.r_[k, l]
+            at = np.repeat(first[at] - np.cumsum(kids) + kids, kids) + np.arange(kids.sum())
+            who = np.repeat(who, kids)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def distances(o, d):
+        near, away, outside = -np.inf, np.inf, False
+        for a in range(3):
+            low, high = mid[a][d[3]] - half[d[3]], mid[a][d[3]] + half[d[3]]
+            t = [np.where(o[a] == side, 0.0, np.where(d[a] == 0, np.where(side > o[a], np.inf, -np.inf), (side - o[a]) / d[a])) for side in (low, high)]
+            near, away = np.fmax(near, np.fmin(*t)), np.fmin(away, np.fmax(*t))
+            outside = outside | (o[a] < low) | (o[a] > high)
+        ahead = outside & (near >= 0)
+        return away >= near, np.where(ahead, near, away), np.where(ahead, away, near)
+
+    def run(batches):
+        for batch in batches:
+            g = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in geo])
+            for i in range(0, g.shape[1], SLICE):
+                o, d = g[:3, i : i + SLICE], g[3:, i : i + SLICE]
+                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                    who, at = walk(o, d)
+                    hit, d1, d2 = distances(o[:, who], [*d[:, who], at])
+                columns = [batch.column(ray_id).take(pa.array(who[hit] + i)), *(pa.array(x[hit]) for x in (node[at], d1, d2))]
+                yield pa.RecordBatch.from_arrays(columns, names=[ray_id, "node", "d1", "d2"])
+
+    tasks = -(-rays.count() // RAYS)
+    rays = rays.repartition(tasks, ray_id) if tasks > rays.rdd.getNumPartitions() else rays
+    return rays.select(ray_id, *geo).mapInArrow(run, f"`{ray_id}` {rays.schema[ray_id].dataType.simpleString()}, node bigint, d1 double, d2 double")
 
 
 def ray_nodes(
@@ -119,7 +190,8 @@ def ray_nodes(
 
     Rays walk down the voxel table level by level, each step an equi-join on the parent, keeping only boxes
     that the line meets (grown by ``pad``). Without ``bidirectional`` boxes behind the origin are dropped.
-    A level of few boxes is sent to the rays: shuffled, all rays of the upper levels would meet in a few tasks.
+    A level of few boxes is sent to the rays: shuffled, all rays of the upper levels would meet in a few tasks. A whole tree of few boxes is
+    walked in one job, and nothing is written on the way.
     """
     from voxfield.operators.voxelmap import describe_nodes
 
@@ -147,7 +219,18 @@ def ray_nodes(
         kept = kept if bidirectional else kept.filter(F.col("_out") >= -1e-9)
         return kept.select(*ray, "node", "leaf", *box)
 
-    start = spread(rays.select(ray_id, *geo, *[G.safe_div(F.lit(1.0), F.col(f"d{a}")).alias(f"i{a}") for a in AXES]))
+    def kept_hits(hits: DataFrame) -> DataFrame:
+        hits = hits.filter(F.col("d1").isNotNull())
+        if not bidirectional:
+            hits = hits.filter(F.col("d1") >= 0)
+        if max_range > 0:
+            hits = hits.filter(F.abs("d1") <= max_range)
+        return hits.select(ray_id, "node", "d1", "d2")
+
+    start = cut(spread(rays.select(ray_id, *geo)))
+    if leaves_only and sum(sizes.values()) <= SENT:
+        return kept_hits(_walk_whole(start, boxes, ray_id, bidirectional, max_range))
+    start = start.select("*", *[G.safe_div(F.lit(1.0), F.col(f"d{a}")).alias(f"i{a}") for a in AXES])
     start = start.withColumn("node", F.lit(1).cast("bigint"))
     level = meets(start.join(F.broadcast(boxes.filter(F.col("node") == 1).drop("parent")), "node"))
     step = boxes.select(F.col("parent").alias("_p"), "node", "leaf", *box)
@@ -170,16 +253,13 @@ def ray_nodes(
     high = [F.col(f"c{a}") + F.col("half") for a in AXES]
     d1, d2, hit, _ = S.ray_box([F.col(c) for c in geo[:3]], [F.col(c) for c in geo[3:]], low, high)
     # Written before the filters, which would work the distances out anew for every condition.
-    done = cut(done.select(ray_id, "node", d1.alias("d1"), d2.alias("d2"))).filter(F.col("d1").isNotNull())
-    if not bidirectional:
-        done = done.filter(F.col("d1") >= 0)
-    if max_range > 0:
-        done = done.filter(F.abs("d1") <= max_range)
-    return done.select(ray_id, "node", "d1", "d2")
+    return kept_hits(cut(done.select(ray_id, "node", d1.alias("d1"), d2.alias("d2"))))
 
 
 def order_on_ray(hits: DataFrame, ray_id: str = "ray_id") -> DataFrame:
     """Boxes ahead by distance, then boxes behind by distance. One window per ray."""
+    # Dealt before the window adds its keys to every row.
+    hits = hits.repartition(ray_id)
     w = Window.partitionBy(ray_id).orderBy((F.col("d1") < 0), F.abs("d1"), "node")
     return hits.withColumn("rank", F.row_number().over(w))
 
