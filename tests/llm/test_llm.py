@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,6 +465,31 @@ def test_m_tree_against_brute_force(spark):
     assert mtree.top_k(vectors.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_m_tree_sends_a_query_to_a_bin_once(spark, monkeypatch):
+    """What a task sends on does not grow with the subtrees that a query visits."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [int(x) for x in rng.integers(-40, 40, 8)]) for i in range(600)], "vec_id long, v array<long>")
+    seen = lambda pages, asks, *_: pa.table([asks.column("vec_id"), pa.array([-1] * len(asks), pa.int64()), pa.array([len(pages)] * len(asks), pa.int64())], names=["query_id", "vec_id", "score"])
+    monkeypatch.setattr(mtree, "_search", seen)
+    # Without finds every subtree is within reach: one bin holds all of them.
+    visits = [(r.query_id, r.score) for r in mtree.top_k(df, F.col("vec_id") % 20 == 0, 20, 15).collect()]
+    assert sorted(visits) == [(i, 600) for i in range(0, 600, 20)]
+    monkeypatch.setattr(mtree, "SMALL", 1)
+    visits = [r.query_id for r in mtree.top_k(df, F.col("vec_id") % 20 == 0, 100, 15).collect()]
+    assert set(visits) == set(range(0, 600, 20)) and len(visits) > 30 * 15
+
+
+def test_m_tree_bins_hold_all_rows(monkeypatch):
+    rng = np.random.default_rng(10)
+    objects, count = rng.random((50, 4)), rng.integers(0, 40, 50)
+    count[7] = 1000
+    base, parts = mtree._bins(objects, count, 100)
+    assert parts[7] == 10 and (np.delete(parts, 7) == 1).all()
+    rows = np.bincount(np.delete(base, 7), np.delete(count, 7))
+    assert rows.max() <= 100 and not (set(range(base[7], base[7] + 10)) & set(base[(count > 0) & (np.arange(50) != 7)]))
+    assert {*base[count > 0], *range(base[7], base[7] + 10)} == set(range(max(base.max() + 1, base[7] + 10)))
+
+
 def test_m_tree_scores_beyond_doubles(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [int(x) for x in (1 << 30) + rng.integers(-40, 40, 3)]) for i in range(300)]

@@ -5,8 +5,9 @@ stored vector to a query (whose extra coordinate is 0) falls as the inner produc
 objects (a bounded sample), under each of them leaf pages that hold a ring of distances to it: every entry stores its distance to the
 routing object, every page the least and largest of these (its covering ring).
 
-The directory is one flat level, not a tree of nested nodes. A query first visits a part of its nearest routing object's entries, which gives a k-th
-best distance; in a second round it visits all subtrees that the triangle inequality does not exclude then, each in a task that does not see what the
+The directory is one flat level, not a tree of nested nodes. Neighbouring subtrees share a bin, a large one is dealt over several; a query is sent to a
+bin once, whatever it visits there. It first visits the bin of its nearest routing object, which gives a k-th
+best distance; in a second round it visits all bins with a subtree that the triangle inequality does not exclude then, each in a task that does not see what the
 others find, and inside them, nearest pages first, only the pages and entries whose stored
 parent distance is within the current k-th distance of its own. Bounds are slack by a rounding margin; scores are whole numbers, so
 results are exact. Where a score may not be exact in a double, what the bounds let through is scored anew in Python's whole numbers.
@@ -25,8 +26,10 @@ from voxfield import session
 MAX_ROUTERS = 1024
 #: Vectors per routing object that the number of routing objects aims at, and entries of a page.
 CELL, PAGE = 1024, 128
-#: Rows of one subtree part and queries of one block that meet in a task.
-SUBTREE, QUERIES = 1 << 14, 1 << 12
+#: Rows of one bin and queries of one block that meet in a task, at most; bins are smaller, down to ``SMALL`` rows, for more parallel work.
+SUBTREE, QUERIES, SMALL = 1 << 15, 1 << 13, 1 << 10
+#: Rows that are compared with all routing objects at once, rows that are sent on at once, and finds that are kept before they are sifted.
+SLICE, SENT, FOUND = 1 << 10, 1 << 12, 1 << 19
 SLACK = 1e-7
 #: Squared lengths up to which every sum of products is exact in doubles.
 EXACT = 2.0**52
@@ -86,18 +89,20 @@ def _whole(column, width: int) -> np.ndarray:
 
 
 def _search(pages: pa.Table, asks: pa.Table, routers: np.ndarray, width: int, square: float, k: int) -> pa.Table:
-    """The k best entries of one subtree part for each query of a block, as far as they beat what the query has."""
+    """The k best entries of one bin for each query of a block, as far as they beat what the query has."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     if not pages.num_rows or not asks.num_rows:
         return schema.empty_table()
-    entries, vec = _matrix(pages.column("v"), width), pages.column("vec_id").to_numpy()
-    parent = pages.column("parent").to_numpy()
-    order = np.argsort(parent, kind="stable")
-    entries, vec, parent = entries[order], vec[order], parent[order]
-    wide = (_whole(pages.column("v"), width)[order], _whole(asks.column("v"), width)) if square > EXACT else None
+    pages = pages.take(np.lexsort((pages.column("parent").to_numpy(), pages.column("cell").to_numpy())))
+    entries, vec, parent, cell = _matrix(pages.column("v"), width), *(pages.column(c).to_numpy() for c in ("vec_id", "parent", "cell"))
+    wide = (_whole(pages.column("v"), width), _whole(asks.column("v"), width)) if square > EXACT else None
     queries, ids = _matrix(asks.column("v"), width), asks.column("vec_id").to_numpy()
-    lifted = np.hstack([queries, np.zeros((len(ids), 1))])
-    own = _distances(lifted, routers[[pages.column("cell")[0].as_py()]])[:, 0]
+    # Pages are of one subtree each.
+    heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    starts = np.concatenate([np.arange(a, b, PAGE) for a, b in zip(heads, np.r_[heads[1:], len(vec)])])
+    ends = np.r_[starts[1:], len(vec)]
+    low, high, under = parent[starts], parent[ends - 1], np.searchsorted(heads, starts, "right") - 1
+    own = _distances(np.hstack([queries, np.zeros((len(ids), 1))]), routers[cell[heads]])
     length = (queries * queries).sum(1)
     # Distance of the k-th best so far, infinite if there are fewer than k.
     reach = asks.column("reach").to_numpy().copy()
@@ -105,17 +110,15 @@ def _search(pages: pa.Table, asks: pa.Table, routers: np.ndarray, width: int, sq
     found: list[tuple] = []
     held = np.zeros(len(ids), np.int64)
     # Pages nearest to where the queries are come first.
-    starts = np.arange(0, len(vec), PAGE)
-    ends = np.minimum(starts + PAGE, len(vec))
-    low, high = parent[starts], parent[ends - 1]
-    gap = np.maximum(np.maximum(low[None, :] - own[:, None], own[:, None] - high[None, :]), 0.0)
-    for p in np.argsort(gap.min(0), kind="stable"):
-        on = np.flatnonzero(gap[:, p] <= reach + margin)
+    least = np.array([np.maximum(np.maximum(low[p] - own[:, c], own[:, c] - high[p]), 0.0).mean() for p, c in enumerate(under)])
+    for p in np.argsort(least, kind="stable"):
+        to = own[:, under[p]]
+        on = np.flatnonzero(np.maximum(low[p] - to, to - high[p]) <= reach + margin)
         if not len(on):
             continue
         # Entries whose stored distance excludes them for every query still here are not computed.
         a, b = starts[p], ends[p]
-        a, b = a + np.searchsorted(parent[a:b], (own[on] - reach[on] - margin[on]).min()), a + np.searchsorted(parent[a:b], (own[on] + reach[on] + margin[on]).max(), "right")
+        a, b = a + np.searchsorted(parent[a:b], (to[on] - reach[on] - margin[on]).min()), a + np.searchsorted(parent[a:b], (to[on] + reach[on] + margin[on]).max(), "right")
         if a >= b:
             continue
         score = np.rint(queries[on] @ entries[a:b].T)
@@ -128,10 +131,10 @@ def _search(pages: pa.Table, asks: pa.Table, routers: np.ndarray, width: int, sq
             exact = score[q, e].astype(np.int64)
         else:
             # Scores beyond a bigint count as the nearest one.
-            exact = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in (wide[1][on[q]] * wide[0][a + e]).sum(1)], np.int64)
+            exact = np.array([min(max(int((wide[1][i] * wide[0][j]).sum()), -(1 << 63)), (1 << 63) - 1) for i, j in zip(on[q], a + e)], np.int64)
         found.append((on[q], exact, vec[a + e]))
         np.add.at(held, on[q], 1)
-        if len(found) > 8 or p == starts[-1]:
+        if len(found) > 8 or sum(len(f[0]) for f in found) > FOUND:
             found = [_tighten(found, held, reach, square, length, k)]
     if not found:
         return schema.empty_table()
@@ -152,6 +155,24 @@ def _tighten(found, held, reach, square, length, k):
     return q, score, v
 
 
+def _bins(objects: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bin, number of bins) of each subtree: neighbours share a bin of ``most`` rows, a larger subtree has bins of its own."""
+    base, parts, n = np.zeros(len(count), np.int64), np.ones(len(count), np.int64), 0
+    todo = [np.flatnonzero(count > 0)]
+    while todo:
+        at = todo.pop()
+        if len(at) > 1 and count[at].sum() > most:
+            side = np.ptp(objects[at], axis=0).argmax()
+            at = at[np.argsort(objects[at, side], kind="stable")]
+            half = np.searchsorted(np.cumsum(count[at]), count[at].sum() / 2, "right")
+            half = min(max(1, half), len(at) - 1)
+            todo += [at[half:], at[:half]]
+        elif len(at):
+            base[at], parts[at] = n, max(1, -(-count[at].sum() // most))
+            n += parts[at[0]]
+    return base, parts
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 20, routers: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k stored vectors with the highest inner product for every query.
 
@@ -171,52 +192,57 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, routers: int | None = None)
     objects = _lift(_matrix(sample.column("v"), width), square)
 
     def assign(batches):
-        for batch in batches:
+        for batch in (big.slice(i, SLICE) for big in batches for i in range(0, big.num_rows, SLICE)):
             d = _distances(_lift(_matrix(batch.column("v"), width), square), objects)
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("vec_id"), pa.array(d[np.arange(len(cell)), cell]), batch.column("v")], names=["cell", "vec_id", "parent", "v"])
 
     entries = session.cut(vectors.mapInArrow(assign, "cell int, vec_id bigint, parent double, v array<bigint>"))
-    session_cells = entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("parent").alias("low"), F.max("parent").alias("high")).collect()
-    # One row per routing object: its ring and the parts that its subtree is dealt into.
-    ring = {r["cell"]: (r["low"], r["high"]) for r in session_cells}
-    parts = {r["cell"]: -(-r["n"] // SUBTREE) for r in session_cells}
+    # One row per routing object: its ring and the bins that its subtree is in.
+    rings = {r["cell"]: r for r in entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("parent").alias("low"), F.max("parent").alias("high")).collect()}
     blocks = -(-asked // QUERIES)
-    cells = np.array(sorted(ring))
-    low, high = np.array([ring[c][0] for c in cells]), np.array([ring[c][1] for c in cells])
-    count = np.array([parts[c] for c in cells])
-
-    part_of = F.create_map(*[F.lit(int(x)) for c in cells for x in (c, parts[c])])
-    stored = entries.withColumn("part", F.pmod(F.xxhash64("vec_id"), part_of[F.col("cell")]).cast("int"))
+    rows = int(np.clip(n * blocks // (4 * spark.sparkContext.defaultParallelism), SMALL, SUBTREE))
+    base, parts = _bins(objects, np.array([rings[c]["n"] if c in rings else 0 for c in range(len(objects))]), rows)
+    cells = np.array(sorted(rings))
+    cells = cells[np.argsort(base[cells], kind="stable")]
+    low, high = (np.array([rings[c][x] for c in cells]) for x in ("low", "high"))
+    heads = np.flatnonzero(np.r_[True, base[cells][1:] != base[cells][:-1]])
+    shares = parts[cells[heads]]
+
+    cell = F.col("cell")
+    stored = entries.withColumn("bin", (F.lit(base.tolist())[cell] + F.pmod(F.xxhash64("vec_id"), F.lit(parts.tolist())[cell])).cast("int"))
     stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def visits(first: bool):
         def run(batches):
-            for batch in batches:
+            for batch in (big.slice(i, SLICE) for big in batches for i in range(0, big.num_rows, SLICE)):
                 x = _matrix(batch.column("v"), width)
                 d = _distances(np.hstack([x, np.zeros((len(x), 1))]), objects[cells])
                 bound = np.maximum(np.maximum(low[None, :] - d, d - high[None, :]), 0.0)
                 if first:
-                    on = np.zeros(bound.shape, bool)
-                    on[np.arange(len(x)), np.lexsort((d, bound), axis=1)[:, 0] if len(x) else []] = True
+                    nearest = np.lexsort((d, bound), axis=1)[:, 0] if len(x) else np.zeros(0, np.int64)
+                    q, b = np.arange(len(x)), np.searchsorted(heads, nearest, "right") - 1
+                    part = np.zeros(len(x), np.int64)
                     reach = np.full(len(x), np.inf)
                 else:
                     reach = batch.column("reach").to_numpy()
-                    on = bound <= (reach + _slack(width, square) * (1.0 + np.sqrt(square + (x * x).sum(1))))[:, None]
-                q, c = np.nonzero(on)
-                times = np.ones(len(c), np.int64) if first else count[c]
-                q, c = np.repeat(q, times), np.repeat(c, times)
-                part = np.zeros(0, np.int64) if not len(times) else np.concatenate([np.arange(t) for t in times])
-                rows = batch.take(pa.array(q)) if len(q) else batch.slice(0, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells[c].astype(np.int32)), pa.array(part.astype(np.int32)), rows.column("vec_id"), pa.array(reach[q]), rows.column("v")],
-                    names=["cell", "part", "vec_id", "reach", "v"],
-                )
+                    on = np.minimum.reduceat(bound, heads, axis=1) <= (reach + _slack(width, square) * (1.0 + np.sqrt(square + (x * x).sum(1))))[:, None]
+                    q, b = np.nonzero(on)
+                    times = shares[b]
+                    q, b = np.repeat(q, times), np.repeat(b, times)
+                    part = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
+                to = base[cells[heads]][b] + part
+                for i in range(0, len(q), SENT):
+                    rows = batch.take(pa.array(q[i : i + SENT]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to[i : i + SENT].astype(np.int32)), rows.column("vec_id"), pa.array(reach[q[i : i + SENT]]), rows.column("v")],
+                        names=["bin", "vec_id", "reach", "v"],
+                    )
 
         return run
 
-    asks = "cell int, part int, vec_id bigint, reach double, v array<bigint>"
-    key = ["cell", "part", "block"]
+    asks = "bin int, vec_id bigint, reach double, v array<bigint>"
+    key = ["bin", "block"]
     block_of = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
 
     def search(pages: pa.Table, queries: pa.Table) -> pa.Table:
