@@ -162,7 +162,7 @@ def test_polygon_with_a_hole(spark):
 
 def test_cloud_labels_of_many_points_are_searched_by_leaves(spark, monkeypatch):
     """All seven probes of a grid point, none by the levels of a tree."""
-    for name, value in (("PER_LEAF", 64), ("_descend", None)):
+    for name, value in (("MANY", 100), ("PER_LEAF", 64), ("_descend", None)):
         monkeypatch.setattr(N, name, value)
     rng = np.random.default_rng(24)
     grid, cloud = rng.random((40, 3)), rng.random((2500, 3))

@@ -182,8 +182,8 @@ def _descend(frontier: DataFrame, nodes: DataFrame, few: bool, levels: int) -> D
     return done.select("qid", *AXES, "ub2", "node")
 
 
-MANY = 2_000  # target points from which both sides are dealt to large leaves
 PER_LEAF = 8192  # wanted targets per large leaf
+MANY = 2 * PER_LEAF  # target points from which both sides are dealt to large leaves
 LEAVES = 4096  # large leaves at most, about: every task holds their boxes
 DRAWN = 16  # targets per leaf that the cuts between the leaves come from
 GROUP = 1 << 15  # queries of one leaf that a task holds
